@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,12 +87,16 @@ def shingles(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(mix64(out))
 
 
-def arrow_schema(ddl: str):
-    """The Arrow schema of a Spark DDL string."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string of plain columns and arrays of them; it needs no session, so tasks can call it."""
+    fields = []
+    for column in ddl.split(", "):
+        name, kind = column.rsplit(" ", 1)
+        fields.append((name.strip("`"), pa.list_(_ARROW[kind[6:-1]]) if kind.startswith("array<") else _ARROW[kind]))
+    return pa.schema(fields)
 
 
 def parts(items: list, weight: Iterator[int], limit: int) -> Iterator[list]:

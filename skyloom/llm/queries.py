@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import tokencount
-from skyloom.llm.common import table
+from skyloom.llm import tokencount, tokenfile
+from skyloom.llm.common import shared_dir, table
 
 #: The vocabulary is a parameter of the operators; the queries take the public byte-level one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(docs, path, TOKENIZER)
+    return tokenfile.read_digests(spark, path)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
     "op9_token_counts": op9_token_counts,
 }
 

@@ -47,11 +47,13 @@ class PieceEncoder:
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
             self.special, self.cut = self._rules(path)
+            self.vocab = self.tokenizer.get_vocab_size()
         else:
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.tokenizer, self.special, self.cut = None, (), False
+            self.vocab = self.model.get_piece_size()
         self.unsafe = "|".join([_UNSAFE, *(re.escape(x) for x in self.special)])
 
     @staticmethod
