@@ -111,3 +111,27 @@ def parts(items: list, weight: Iterator[int], limit: int) -> Iterator[list]:
         total += w
     if run:
         yield run
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """One batch for each run of rows with equal values in the first `keys` columns (integers without nulls)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        change = np.zeros(n, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.concat_batches(held)
