@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import neardup, tokencount, tokenfile
+from skyloom.llm import neardup, tokencount, tokenfile, urlfilter
 from skyloom.llm.common import shared_dir, table
 
 #: The vocabulary is a parameter of the operators; the queries take the public byte-level one.
@@ -33,10 +33,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
+    "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_url_filter": urlfilter.sql(),
+}
