@@ -7,14 +7,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyloom.llm import neardup, tokencount, tokenfile, urlfilter
+from skyloom.llm import ann, neardup, tokencount, tokenfile, urlfilter
 from skyloom.llm.common import shared_dir, table
 
 #: The vocabulary is a parameter of the operators; the queries take the public byte-level one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfile.write_tokens(docs, path, TOKENIZER)
@@ -38,6 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op4_token_files": op4_token_files,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
