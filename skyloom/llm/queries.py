@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, neardup, tokencount, tokenfile, urlfilter
+from skyloom.llm import ann, linededup, mixing, neardup, tokencount, tokenfile, urlfilter
 from skyloom.llm.common import shared_dir, table
 
 #: The vocabulary is a parameter of the operators; the queries take the public byte-level one.
@@ -30,6 +30,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "source", "block", F.round("weight", 9).alias("weight"), F.round("mix_at", 9).alias("mix_at"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,11 +54,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op4_token_files": op4_token_files,
+    "op5_source_mix": op5_source_mix,
+    "op7_line_dedup": op7_line_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
 }
 
 SQL: dict[str, str] = {
+    "op5_source_mix": mixing.sql(),
+    "op7_line_dedup": linededup.sql(),
     "op10_url_filter": urlfilter.sql(),
 }
