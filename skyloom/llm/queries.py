@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, linededup, mixing, neardup, tokencount, tokenfile, urlfilter
+from skyloom.llm import ann, langid, linededup, mixing, neardup, tokencount, tokenfile, urlfilter
 from skyloom.llm.common import shared_dir, table
 
 #: The vocabulary is a parameter of the operators; the queries take the public byte-level one.
@@ -35,6 +35,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "block", F.round("weight", 9).alias("weight"), F.round("mix_at", 9).alias("mix_at"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", "language", "posterior", "accepted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op4_token_files": op4_token_files,
     "op5_source_mix": op5_source_mix,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op5_source_mix": mixing.sql(),
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": linededup.sql(),
     "op10_url_filter": urlfilter.sql(),
 }
