@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, decontam, langid, linededup, mixing, neardup, tokencount, tokenfile, urlfilter
+from skyloom.llm import ann, decontam, langid, linededup, maintext, mixing, neardup, tokencount, tokenfile, urlfilter
 from skyloom.llm.common import shared_dir, table
 
 #: The vocabulary is a parameter of the operators; the queries take the public byte-level one.
@@ -25,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_ids", (F.size("item_ids") == 0).alias("kept"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_texts(table(spark, sf_dir, "pages"))
+
+
 def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfile.write_tokens(docs, path, TOKENIZER)
@@ -64,6 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_decontamination": op2_decontamination,
+    "op3_main_text": op3_main_text,
     "op4_token_files": op4_token_files,
     "op5_source_mix": op5_source_mix,
     "op6_language_id": op6_language_id,
