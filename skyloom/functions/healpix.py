@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.geometry import Vector, floor_mod, norm
@@ -101,11 +101,22 @@ def nest_parts(pixel: Column, nside: int) -> tuple[Column, Column, Column]:
     return _long(pixel / (nside * nside)), squeeze_bits(inner, b), squeeze_bits(F.shiftright(inner, 1), b)
 
 
-def vec_to_pixel(v: Vector, nside: int, nested: bool = True) -> Column:
-    """The pixel of a direction (of any length but 0)."""
+def with_pixel(df: DataFrame, v: Vector, name: str, nside: int, nested: bool = True) -> DataFrame:
+    """df with the pixel of a direction (of any length but 0), step by step: one expression would repeat its parts many times."""
     check_nside(nside, nested)
-    face, x, y = face_xy(v[2] / norm(v), F.atan2(v[1], v[0]), nside)
-    return nest_of(face, x, y, nside) if nested else ring_of(face, x, y, nside)
+    df = df.withColumns({"__cz": v[2] / norm(v), "__phi": F.atan2(v[1], v[0])})
+    df = df.withColumns(dict(zip(("__face", "__px", "__py"), face_xy(F.col("__cz"), F.col("__phi"), nside), strict=True)))
+    parts = F.col("__face"), F.col("__px"), F.col("__py")
+    return df.withColumn(name, nest_of(*parts, nside) if nested else ring_of(*parts, nside)).drop("__cz", "__phi", "__face", "__px", "__py")
+
+
+def with_vectors(df: DataFrame, pixel: str, nside: int, nested: bool = True, prefix: str = "") -> DataFrame:
+    """df with the unit vector (prefix + x, y, z) to a pixel's centre, step by step."""
+    ring = nest_to_ring(F.col(pixel), nside) if nested else F.col(pixel)
+    df = df.withColumn("__ring", ring)
+    df = df.withColumns(dict(zip(("__cz", "__phi"), ring_to_z_phi(F.col("__ring"), nside), strict=True)))
+    s = F.sqrt(F.greatest(1 - F.col("__cz") * F.col("__cz"), F.lit(0.0)))
+    return df.withColumns({f"{prefix}x": s * F.cos("__phi"), f"{prefix}y": s * F.sin("__phi"), f"{prefix}z": F.col("__cz")}).drop("__ring", "__cz", "__phi")
 
 
 def nest_to_ring(pixel: Column, nside: int) -> Column:
@@ -129,13 +140,6 @@ def ring_to_z_phi(pixel: Column, nside: int) -> tuple[Column, Column]:
     return z, phi
 
 
-def pixel_vector(pixel: Column, nside: int, nested: bool = True) -> Vector:
-    """Unit vector to a pixel's centre."""
-    z, phi = ring_to_z_phi(nest_to_ring(pixel, nside) if nested else pixel, nside)
-    s = F.sqrt(F.greatest(1 - z * z, F.lit(0.0)))
-    return s * F.cos(phi), s * F.sin(phi), z
-
-
 def parent(pixel: Column, levels: int = 1) -> Column:
     """The nested pixel that holds a nested pixel, so many levels up."""
     return F.shiftright(pixel, 2 * levels)

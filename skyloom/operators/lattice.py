@@ -52,7 +52,7 @@ def cone_tiles(shells: DataFrame, box: float, axis, half_angle: float) -> DataFr
 def split_layers(pieces: DataFrame, box: float) -> DataFrame:
     """Each tile once for each spherical layer ((k-1/2) box, (k+1/2) box] that it crosses within its shell, r_lo and r_hi held to it."""
     near, far = _near_far(box)
-    first = F.floor(F.greatest(near, F.col("r_lo")) / box + 0.5)
+    first = F.ceil(F.greatest(near, F.col("r_lo")) / box - 0.5)
     last = F.ceil(F.least(far, F.col("r_hi")) / box - 0.5)
     out = pieces.withColumn("layer", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.greatest(last, first, F.lit(0)).cast("int"))))
     lo, hi = (F.col("layer") - 0.5) * box, (F.col("layer") + 0.5) * box

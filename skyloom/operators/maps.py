@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import healpix as h
-from skyloom.functions.geometry import Vector, dot, norm
+from skyloom.functions.geometry import Vector, dot, norm, vector
 
 
 def summed(maps: list[DataFrame] | DataFrame) -> DataFrame:
@@ -54,13 +54,14 @@ def selected(values: DataFrame, pixels: DataFrame) -> DataFrame:
 def in_disc(spark: SparkSession, nside: int, centre: tuple[float, float, float], radius: float, nested: bool = True) -> DataFrame:
     """pix whose centre lies within a radius (radians) of a direction."""
     size = math.sqrt(sum(c * c for c in centre))
-    df = spark.range(h.n_pixels(nside)).toDF("pix")
-    return df.where(dot(h.pixel_vector(F.col("pix"), nside, nested), [c / size for c in centre]) >= math.cos(radius))
+    df = h.with_vectors(spark.range(h.n_pixels(nside)).toDF("pix"), "pix", nside, nested)
+    return df.where(dot(vector(), [c / size for c in centre]) >= math.cos(radius)).select("pix")
 
 
 def deposited(points: DataFrame, v: Vector, value: Column, nside: int, nested: bool = True) -> DataFrame:
     """pix, value: the sum of a value over the points of each pixel."""
-    return points.groupBy(h.vec_to_pixel(v, nside, nested).alias("pix")).agg(F.sum(value).alias("value"))
+    own = h.with_pixel(points.withColumn("__value", value), v, "pix", nside, nested)
+    return own.groupBy("pix").agg(F.sum("__value").alias("value"))
 
 
 def smoothed(points: DataFrame, v: Vector, angle: Column, value: Column, nside: int, weight: Column | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def smoothed(points: DataFrame, v: Vector, angle: Column, value: Column, nside:
     row for each pixel under it, and sums are combined before the shuffle.
     """
     base = points.withColumns({"__id": F.monotonically_increasing_id(), "__v": value.cast("double"), "__w": (weight if weight is not None else F.lit(1.0)).cast("double"), "__a": angle, **{f"__{c}": x / norm(v) for c, x in zip("xyz", v, strict=True)}})
-    base = base.select("__id", "__v", "__w", "__a", "__x", "__y", "__z").withColumn("__own", h.vec_to_pixel(tuple(F.col(f"__{c}") for c in "xyz"), nside))
+    base = h.with_pixel(base.select("__id", "__v", "__w", "__a", "__x", "__y", "__z"), vector("__"), "__own", nside)
     pixel = math.sqrt(h.pixel_area(nside))
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,9 +95,9 @@ def smoothed(points: DataFrame, v: Vector, angle: Column, value: Column, nside:
 
     wide = base.where(F.col("__a") > pixel / 2)
     probes = wide.select(F.col("__id").alias("id"), F.col("__a").alias("r"), *[F.col(f"__{c}").alias(c) for c in "xyz"]).mapInPandas(around, "id long, x double, y double, z double")
-    under = probes.select(F.col("id").alias("__id"), h.vec_to_pixel((F.col("x"), F.col("y"), F.col("z")), nside).alias("pix")).distinct()
-    share = under.join(wide, "__id")
-    cosine = dot(h.pixel_vector(F.col("pix"), nside), [F.col(f"__{c}") for c in "xyz"])
+    under = h.with_pixel(probes, vector(), "pix", nside).select(F.col("id").alias("__id"), "pix").distinct()
+    share = h.with_vectors(under.join(wide, "__id"), "pix", nside)
+    cosine = dot(vector(), vector("__"))
     d = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) / F.col("__a")
     share = share.withColumn("__k", F.pow(F.greatest(1 - d * d, F.lit(0.0)), F.lit(2.0))).where("__k > 0")
     total = share.groupBy("__id").agg(F.sum("__k").alias("__t"))
@@ -116,10 +117,10 @@ def rotated(values: DataFrame, nside: int, theta: float, phi: float) -> DataFram
     came from. It is exact for maps that are constant within pixels; nothing is done if both angles are 0."""
     if not theta and not phi:
         return values.select("pix", "value")
-    x, y, z = h.pixel_vector(F.col("pix"), nside)
+    grid = h.with_vectors(values.sparkSession.range(h.n_pixels(nside)).toDF("pix"), "pix", nside)
+    x, y, z = vector()
     ux, uy = x * math.cos(phi) + y * math.sin(phi), y * math.cos(phi) - x * math.sin(phi)
-    source = h.vec_to_pixel((ux * math.cos(theta) - z * math.sin(theta), uy, ux * math.sin(theta) + z * math.cos(theta)), nside)
-    grid = values.sparkSession.range(h.n_pixels(nside)).toDF("pix").withColumn("source", source)
+    grid = h.with_pixel(grid, (ux * math.cos(theta) - z * math.sin(theta), uy, ux * math.sin(theta) + z * math.cos(theta)), "source", nside)
     return grid.join(values.select(F.col("pix").alias("source"), "value"), "source").select("pix", "value")
 
 
@@ -148,7 +149,7 @@ def integrated(shells: DataFrame, angles: DataFrame, nside: int, levels: int = 0
 
 def halo_pixel_index(halos: DataFrame, v: Vector, nside: int = 16, nested: bool = True) -> DataFrame:
     """pix, n_halos, first_halo for every pixel: where each pixel's haloes stand in an order by pixel."""
-    counts = halos.groupBy(h.vec_to_pixel(v, nside, nested).alias("pix")).agg(F.count("*").alias("value"))
+    counts = h.with_pixel(halos, v, "pix", nside, nested).groupBy("pix").agg(F.count("*").alias("value"))
     full = full_map(counts, nside, 0.0).select("pix", F.col("value").cast("long").alias("n_halos"))
     before = Window.orderBy("pix").rowsBetween(Window.unboundedPreceding, -1)
     return full.withColumn("first_halo", F.coalesce(F.sum("n_halos").over(before), F.lit(0)))
@@ -156,7 +157,7 @@ def halo_pixel_index(halos: DataFrame, v: Vector, nside: int = 16, nested: bool
 
 def write_halos(halos: DataFrame, v: Vector, path: str, metadata: dict[str, str], nside: int = 16) -> None:
     """haloes ordered by pixel, their index, and the settings, as three Parquet folders."""
-    pix = halos.withColumn("pix", h.vec_to_pixel(v, nside))
+    pix = h.with_pixel(halos, v, "pix", nside)
     pix.repartitionByRange("pix").sortWithinPartitions("pix", "halo_index").write.parquet(f"{path}/halos")
     halo_pixel_index(halos, v, nside).write.parquet(f"{path}/index")
     halos.sparkSession.createDataFrame(sorted(metadata.items()), "name string, value string").write.parquet(f"{path}/metadata")
@@ -190,7 +191,6 @@ def aperture_masks(halos: DataFrame, nside: int, scales: list[float], bins: list
     angle = F.atan(F.col("scale") * F.col("__r") / F.col("__d"))
     theta = F.acos(F.least(F.greatest(F.col("pz") / F.col("__d"), F.lit(-1.0)), F.lit(1.0)))
     own = own.withColumns({"__a": angle, "band": F.explode(F.sequence(F.floor(F.greatest(theta - angle, F.lit(0.0)) / band), F.floor(F.least(theta + angle, F.lit(math.pi)) / band)))})
-    x, y, z = h.pixel_vector(F.col("pix"), nside)
-    pixels = spark.range(h.n_pixels(nside)).toDF("pix").select("pix", x.alias("x"), y.alias("y"), z.alias("z")).withColumn("band", F.floor(F.acos(F.least(F.greatest("z", F.lit(-1.0)), F.lit(1.0))) / band))
+    pixels = h.with_vectors(spark.range(h.n_pixels(nside)).toDF("pix"), "pix", nside).withColumn("band", F.floor(F.acos(F.least(F.greatest("z", F.lit(-1.0)), F.lit(1.0))) / band))
     cosine = dot((F.col("x"), F.col("y"), F.col("z")), [F.col("px"), F.col("py"), F.col("pz")]) / F.col("__d")
     return own.join(pixels, "band").where(cosine >= F.cos("__a")).select("scale", "log_mass_lo", "log_mass_hi", "pix").distinct()

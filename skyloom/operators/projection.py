@@ -98,15 +98,15 @@ def smoothing_lengths(points: DataFrame, side: float, k: int = NEIGHBOURS, gamma
     for _ in range(12):
         cube = [F.floor(F.col(a) / reach).cast("long").alias(f"b{a}") for a in AXES]
         keyed = base.select("id", *AXES, *cube)
-        ask = keyed.join(left, "id", "left_semi")
+        ask = keyed.join(left, "id", "left_semi").toDF("a_id", "a_x", "a_y", "a_z", "ax", "ay", "az")
         keys = ["bx", "by", "bz"]
-        spread = keyed
+        spread = base.select(*AXES, *cube).toDF(*AXES, *keys)
         for b in keys:
             spread = spread.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
 
         def find(a: pd.DataFrame, near: pd.DataFrame, reach: float = reach) -> pd.DataFrame:
             p, ids, h = near[["x", "y", "z"]].to_numpy(), [], []
-            for i, q in zip(a["id"], a[["x", "y", "z"]].to_numpy(), strict=True):
+            for i, q in zip(a["a_id"], a[["a_x", "a_y", "a_z"]].to_numpy(), strict=True):
                 d = np.sqrt(np.square(p - q).sum(axis=1))
                 if len(d) > k:
                     far = float(np.partition(d, k)[k])
@@ -115,7 +115,7 @@ def smoothing_lengths(points: DataFrame, side: float, k: int = NEIGHBOURS, gamma
                         h.append(far / gamma)
             return pd.DataFrame({"id": np.array(ids, np.int64), "h": np.array(h, float)})
 
-        got = ask.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(find, "id long, h double").checkpoint()
+        got = ask.groupBy("ax", "ay", "az").cogroup(spread.groupBy(*keys)).applyInPandas(find, "id long, h double").checkpoint()
         out.append(got)
         left = left.join(got, "id", "left_anti").checkpoint()
         if left.isEmpty():

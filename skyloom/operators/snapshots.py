@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONF, MAX_SPACING, LOUD_SPACING = "skyloom.maxSnapshotSpacing", 0.1, 0.25
-_ORDER = Window.orderBy("snap")
+
+
+def _order():
+    return Window.orderBy("snap")
 
 
 def check_outputs(outputs: DataFrame) -> DataFrame:
     """outputs as they are; ValueError unless there are two at least and redshifts strictly decrease."""
-    n, bad = outputs.withColumn("d", F.col("z") - F.lag("z").over(_ORDER)).agg(F.count("*"), F.count_if(F.col("d") >= 0)).first()
+    n, bad = outputs.withColumn("d", F.col("z") - F.lag("z").over(_order())).agg(F.count("*"), F.count_if(F.col("d") >= 0)).first()
     if n < 2 or bad:
         raise ValueError("output redshifts must be two at least and strictly decrease")
     return outputs
@@ -42,8 +45,8 @@ def max_spacing(spark) -> float:
 def edges(outputs: DataFrame, first: float | None = None, last: float | None = None) -> DataFrame:
     """snap, z, z_lo, z_hi: each output serves up to the mid-points to its neighbours; the ends serve up to themselves, or to
     the given redshifts of the first (highest) and last output of a fuller table."""
-    high = F.coalesce((F.lag("z").over(_ORDER) + F.col("z")) / 2, F.lit(first), F.col("z"))
-    low = F.coalesce((F.lead("z").over(_ORDER) + F.col("z")) / 2, F.lit(last), F.col("z"))
+    high = F.coalesce((F.lag("z").over(_order()) + F.col("z")) / 2, F.lit(first), F.col("z"))
+    low = F.coalesce((F.lead("z").over(_order()) + F.col("z")) / 2, F.lit(last), F.col("z"))
     return outputs.select("snap", "z", low.alias("z_lo"), high.alias("z_hi"))
 
 
