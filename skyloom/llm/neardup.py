@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 JUDGED = 0.60
 #: Shingles to a block of a group that is not yet connected.
 BLOCK_SHINGLES = 400_000
+#: Ids of documents with company (8 bytes each) are broadcast up to so many, and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240101))
 _XOR, _MUL = _RNG.integers(0, 2**64, REGISTERS, np.uint64), _RNG.integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 2**63, (BANDS, ROWS + 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -216,19 +218,22 @@ def _remaining(groups: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity 0.75 or more), kept, for each row of docs."""
     sketched = written(sketches(docs), "sketches")
-    sets = written(sketched.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "sets")
-    reps = sketched.where("sketch is not null and doc_id is not null").withColumnRenamed("doc_id", "id").join(sets.where("id is not null").select("set_a", "set_b", "id"), ["set_a", "set_b", "id"], "left_semi")
-    reps = written(reps.dropDuplicates(["set_a", "set_b"]).select("id", "n_shingles", "sketch"), "classes")
-    keyed = bands(reps)
+    first = F.min_by(F.struct(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "doc_id").alias("first")
+    classes = written(sketched.where("set_a is not null").groupBy("set_a", "set_b").agg(first).select("set_a", "set_b", "first.*"), "classes")
+    sets = classes.select("set_a", "set_b", "id")
+    keyed = bands(classes.where("sketch is not null and id is not null"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(keyed.join(buckets, "key").select("key", "id", "size"), "members")
     company = members.groupBy("id").agg(F.sum("size").alias("company"))
     pivots = members.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("pivot"))
     groups = written(members.join(pivots, "key").select("pivot", "id").distinct(), "pivots")
-    pairs = written(_likely_pairs(groups.where("id <> pivot"), reps), "pairs")
-    needed = groups.select("id").distinct()
+    needed = written(groups.select("id").distinct(), "needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    reps = written(classes.where("sketch is not null").select("id", "n_shingles", "sketch").join(needed, "id", "left_semi"), "sketches")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, "texts")
+    pairs = written(_likely_pairs(groups.where("id <> pivot"), reps), "pairs")
     links = written(_confirmed(pairs, texts), "links")
     labels = components(links)
     more = written(_remaining(groups, labels, reps, texts), "links")
