@@ -4,7 +4,8 @@ The test items are indexed: for each word the items that hold it, in blocks of B
 the block. Every document is cut into passages of WINDOW words that overlap by half, and each is a query: all items that score
 at least THRESHOLD of the item's own score (the item queried with itself) are retrieved. A passage counts a word once. WAND walks
 postings in item order with each term's largest score as bound, and skips a pivot whose blocks' largest scores cannot reach the
-lowest threshold; a passage whose terms' bounds together cannot reach it is never opened. These bounds only skip what cannot
+lowest threshold. A document or passage is opened only if the telling words that it holds (all but an item's lowest-scoring
+ones, COMMON of its score) can make up what the others together cannot. These bounds only skip what cannot
 be retrieved, so the result is that of scoring everything.
 
 Retrieved items are verified in the document around the passage: the item's question (its words up to the last sentence,
@@ -21,18 +22,18 @@ own; null ids are returned as null. Empty tables: no match, every document clean
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, BLOCK, THRESHOLD, SIMILARITY, SHARD_BYTES = 128, 16, 0.6, 0.75, 16 << 20
+WINDOW, BLOCK, THRESHOLD, SIMILARITY, SHARD_BYTES, COMMON = 128, 16, 0.6, 0.75, 16 << 20, 0.3
 K1, B = 1.2, 0.75
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
+_WORD = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def words(text: str | None) -> list[str]:
@@ -77,11 +78,36 @@ class Index:
                 own[d] += score
         self.limit = THRESHOLD * own
         self.least = float(self.limit.min()) if len(items) else math.inf
+        # Telling words: all of an item's but the lowest-scoring ones, which come to COMMON of its own score together. Those
+        # that a text has must make up what the others cannot.
+        self.telling: dict[str, list[tuple[int, float]]] = {}
+        self.needed = self.limit.copy()
+        by_item: dict[int, list[tuple[float, str]]] = {}
+        for w, posted in lists.items():
+            for d, score in posted:
+                by_item.setdefault(d, []).append((score, w))
+        for d, scored in by_item.items():
+            common = 0.0
+            for score, w in sorted(scored):
+                if common + score <= COMMON * own[d]:
+                    common += score
+                    self.needed[d] -= score
+                else:
+                    self.telling.setdefault(w, []).append((d, score))
+        self.tellers = frozenset(self.telling)
         self.docs = {w: [d for d, _ in p] for w, p in lists.items()}
         self.scores = {w: [s for _, s in p] for w, p in lists.items()}
         self.most = {w: max(s) for w, s in self.scores.items()}
         self.block_most = {w: [max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for w, s in self.scores.items()}
 
+    def possible(self, terms: set[str]) -> bool:
+        """Whether the telling words among the terms leave any item within reach of its limit."""
+        held: dict[int, float] = {}
+        for w in terms & self.tellers:
+            for d, score in self.telling[w]:
+                held[d] = held.get(d, 0.0) + score
+        return any(score >= self.needed[d] - 1e-9 for d, score in held.items())
+
     def search(self, terms: list[str]) -> list[int]:
         """Places of the items that reach their limit for the distinct terms, by block-max WAND."""
         lists = [[self.docs[w][0], w, 0] for w in terms if w in self.docs]
@@ -132,21 +158,17 @@ class Index:
     def matches(self, text: str | None) -> list[int]:
         """Places of the items that are retrieved by a passage of the text and verified around it."""
         ws = words(text)
-        if not ws:
+        if not ws or not self.possible(set(ws)):
             return []
-        most = self.most
-        bound = np.fromiter((most.get(w, 0.0) for w in ws), float, len(ws))
-        sums = np.concatenate([[0.0], np.cumsum(bound)])
         window = max(WINDOW, 2 * self.longest)
         step = window // 2
-        starts = np.arange(0, max(len(ws) - step, 1), step)
-        ends = np.minimum(starts + window, len(ws))
         hits: set[int] = set()
-        for i in np.flatnonzero(sums[ends] - sums[starts] >= self.least - 1e-6).tolist():
-            a, b = int(starts[i]), int(ends[i])
-            terms = {w for w, x in zip(ws[a:b], bound[a:b].tolist(), strict=True) if x}
-            if sum(most[w] for w in terms) < self.least - 1e-9:
+        for a in range(0, max(len(ws) - step, 1), step):
+            b = min(a + window, len(ws))
+            terms = set(ws[a:b])
+            if not self.possible(terms):
                 continue
+            terms &= self.most.keys()
             near = None
             for d in self.search(sorted(terms)):
                 if d not in hits:
