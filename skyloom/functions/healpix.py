@@ -50,25 +50,6 @@ def _bits(nside: int) -> int:
     return max(1, nside.bit_length())
 
 
-def face_xy(z: Column, phi: Column, nside: int) -> tuple[Column, Column, Column]:
-    """Base pixel and position in it, of height z and longitude phi."""
-    tt = floor_mod(phi * (2 / math.pi), 4.0)
-    za = F.abs(z)
-    t1, t2 = nside * (0.5 + tt), nside * z * 0.75
-    jp, jm = _long(t1 - t2), _long(t1 + t2)
-    ifp, ifm = _long(jp / nside), _long(jm / nside)
-    face_e = F.when(ifp == ifm, ifp % 4 + 4).when(ifp < ifm, ifp % 4).otherwise(ifm % 4 + 8)
-    x_e, y_e = jm % nside, nside - jp % nside - 1
-    ntt = F.least(_long(tt), F.lit(3).cast("long"))
-    tp = tt - ntt
-    tmp = nside * F.sqrt(3 * (1 - za))
-    jp2, jm2 = F.least(_long(tp * tmp), F.lit(nside - 1).cast("long")), F.least(_long((1 - tp) * tmp), F.lit(nside - 1).cast("long"))
-    face_p = F.when(z >= 0, ntt).otherwise(ntt + 8)
-    x_p, y_p = F.when(z >= 0, nside - jm2 - 1).otherwise(jp2), F.when(z >= 0, nside - jp2 - 1).otherwise(jm2)
-    middle = za <= 2 / 3
-    return tuple(F.when(middle, e).otherwise(p).cast("long") for e, p in ((face_e, face_p), (x_e, x_p), (y_e, y_p)))  # type: ignore[return-value]
-
-
 def _ring_geometry(jr: Column, nside: int) -> tuple[Column, Column, Column]:
     """Pixels in a quarter of ring jr, whether it is shifted, and pixels before it."""
     n = nside
@@ -104,10 +85,18 @@ def nest_parts(pixel: Column, nside: int) -> tuple[Column, Column, Column]:
 def with_pixel(df: DataFrame, v: Vector, name: str, nside: int, nested: bool = True) -> DataFrame:
     """df with the pixel of a direction (of any length but 0), step by step: one expression would repeat its parts many times."""
     check_nside(nside, nested)
-    df = df.withColumns({"__cz": v[2] / norm(v), "__phi": F.atan2(v[1], v[0])})
-    df = df.withColumns(dict(zip(("__face", "__px", "__py"), face_xy(F.col("__cz"), F.col("__phi"), nside), strict=True)))
-    parts = F.col("__face"), F.col("__px"), F.col("__py")
-    return df.withColumn(name, nest_of(*parts, nside) if nested else ring_of(*parts, nside)).drop("__cz", "__phi", "__face", "__px", "__py")
+    n, col = nside, F.col
+    df = df.withColumns({"__x": v[0], "__y": v[1], "__z": v[2]})
+    df = df.withColumns({"__cz": col("__z") / norm((col("__x"), col("__y"), col("__z"))), "__tt": floor_mod(F.atan2("__y", "__x") * (2 / math.pi), 4.0)})
+    df = df.withColumns({"__jp": _long(n * (0.5 + col("__tt")) - n * col("__cz") * 0.75), "__jm": _long(n * (0.5 + col("__tt")) + n * col("__cz") * 0.75), "__nt": F.least(_long(col("__tt")), F.lit(3).cast("long")), "__q": n * F.sqrt(3 * (1 - F.abs("__cz")))})
+    held = lambda c: F.least(_long(c), F.lit(n - 1).cast("long"))
+    df = df.withColumns({"__ip": _long(col("__jp") / n), "__im": _long(col("__jm") / n), "__kp": held((col("__tt") - col("__nt")) * col("__q")), "__km": held((1 - col("__tt") + col("__nt")) * col("__q"))})
+    middle, north = F.abs("__cz") <= 2 / 3, col("__cz") >= 0
+    around = F.when(col("__ip") == col("__im"), col("__ip") % 4 + 4).when(col("__ip") < col("__im"), col("__ip") % 4).otherwise(col("__im") % 4 + 8)
+    df = df.withColumns({"__face": F.when(middle, around).when(north, col("__nt")).otherwise(col("__nt") + 8).cast("long"), "__px": F.when(middle, col("__jm") % n).when(north, n - col("__km") - 1).otherwise(col("__kp")).cast("long"), "__py": F.when(middle, n - col("__jp") % n - 1).when(north, n - col("__kp") - 1).otherwise(col("__km")).cast("long")})
+    parts = col("__face"), col("__px"), col("__py")
+    df = df.withColumn(name, nest_of(*parts, nside) if nested else ring_of(*parts, nside))
+    return df.drop("__x", "__y", "__z", "__cz", "__tt", "__jp", "__jm", "__nt", "__q", "__ip", "__im", "__kp", "__km", "__face", "__px", "__py")
 
 
 def with_vectors(df: DataFrame, pixel: str, nside: int, nested: bool = True, prefix: str = "") -> DataFrame:

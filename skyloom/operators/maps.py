@@ -71,8 +71,8 @@ def smoothed(points: DataFrame, v: Vector, angle: Column, value: Column, nside:
     pixel centre gives all to its own pixel. Candidate pixels are those of the coarse pixels around the point; a point is a
     row for each pixel under it, and sums are combined before the shuffle.
     """
-    base = points.withColumns({"__id": F.monotonically_increasing_id(), "__v": value.cast("double"), "__w": (weight if weight is not None else F.lit(1.0)).cast("double"), "__a": angle, **{f"__{c}": x / norm(v) for c, x in zip("xyz", v, strict=True)}})
-    base = h.with_pixel(base.select("__id", "__v", "__w", "__a", "__x", "__y", "__z"), vector("__"), "__own", nside)
+    base = points.withColumns({"__id": F.monotonically_increasing_id(), "__v": value.cast("double"), "__w": (weight if weight is not None else F.lit(1.0)).cast("double"), "__a": angle, **{f"u{c}": x / norm(v) for c, x in zip("xyz", v, strict=True)}})
+    base = h.with_pixel(base.select("__id", "__v", "__w", "__a", "ux", "uy", "uz"), vector("u"), "__own", nside)
     pixel = math.sqrt(h.pixel_area(nside))
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,10 +94,10 @@ def smoothed(points: DataFrame, v: Vector, angle: Column, value: Column, nside:
             yield pd.DataFrame({"id": np.concatenate(ids), "x": np.concatenate(xs), "y": np.concatenate(ys), "z": np.concatenate(zs)})
 
     wide = base.where(F.col("__a") > pixel / 2)
-    probes = wide.select(F.col("__id").alias("id"), F.col("__a").alias("r"), *[F.col(f"__{c}").alias(c) for c in "xyz"]).mapInPandas(around, "id long, x double, y double, z double")
+    probes = wide.select(F.col("__id").alias("id"), F.col("__a").alias("r"), *[F.col(f"u{c}").alias(c) for c in "xyz"]).mapInPandas(around, "id long, x double, y double, z double")
     under = h.with_pixel(probes, vector(), "pix", nside).select(F.col("id").alias("__id"), "pix").distinct()
     share = h.with_vectors(under.join(wide, "__id"), "pix", nside)
-    cosine = dot(vector(), vector("__"))
+    cosine = dot(vector(), vector("u"))
     d = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) / F.col("__a")
     share = share.withColumn("__k", F.pow(F.greatest(1 - d * d, F.lit(0.0)), F.lit(2.0))).where("__k > 0")
     total = share.groupBy("__id").agg(F.sum("__k").alias("__t"))

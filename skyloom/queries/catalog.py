@@ -550,7 +550,7 @@ def pix_round_trip(spark, sf):
     df = hp.with_vectors(spark.range(hp.n_pixels(NSIDE)).select(F.col("id").alias("pix")), "pix", NSIDE)
     df = hp.with_pixel(df, g.vector(), "back", NSIDE).withColumn("ring", hp.nest_to_ring(F.col("pix"), NSIDE))
     df = hp.with_pixel(hp.with_vectors(df, "ring", NSIDE, nested=False, prefix="r"), g.vector("r"), "again", NSIDE, nested=False)
-    return df.agg(F.count("*").alias("n"), F.count_distinct("ring").alias("distinct_n"), F.count_if("back <> pix or again <> ring").alias("wrong"))
+    return df.agg(F.count("*").alias("n"), F.count_distinct("ring").alias("distinct_n"), F.count_if((F.col("back") != F.col("pix")) | (F.col("again") != F.col("ring"))).alias("wrong"))
 
 
 @query()
