@@ -25,13 +25,12 @@ and ids give a row each. Without a labelled document every row is rejected with
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +38,8 @@ from skyloom.llm.common import arrow_schema, written
 
 PER_LANGUAGE, SAMPLE_CHARS = 400, 2000
 TEMPER, MOST, TRUST, TRUST_SUFFIX, PRIOR, MIN_POSTERIOR, MIN_FIT = 0.1, 12.0, 0.9, 0.7, 20.0, 0.6, 4.0
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+HELD = 250_000
 
 
 class Model:
@@ -62,29 +62,51 @@ class Model:
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """Log likelihood of each language, and the number of trigrams."""
-        total, n = np.zeros(len(self.languages)), 0
         words = Counter(_LETTERS.findall(text.lower()))
-        if words:
-            found = [self.word(w) for w in words]
-            times = np.fromiter(words.values(), float, len(words))
-            total = times @ np.array([s for s, _ in found])
-            n = int(times @ np.array([k for _, k in found]))
-        return total, n
-
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        held = _words(self)
-        if word not in held:
-            if len(held) > 200_000:
-                held.clear()
+        if not words:
+            return np.zeros(len(self.languages)), 0
+        held = _held(self)
+        if held.n + len(words) > len(held.rows):
+            held.forget(len(words))
+        places = np.fromiter((held.place(w, self) for w in words), np.int64, len(words))
+        total = np.fromiter(words.values(), float, len(words)) @ held.rows[places]
+        return total[:-1], int(total[-1])
+
+
+class _Held(dict):
+    """Words that a worker has met: their place in rows (log likelihoods, number of trigrams). All go when rows are full."""
+
+    def __init__(self, languages: int):
+        self.rows, self.n = np.empty((HELD, languages + 1)), 0
+
+    def forget(self, wanted: int) -> None:
+        self.clear()
+        self.n = 0
+        if wanted > len(self.rows):
+            self.rows = np.empty((wanted, self.rows.shape[1]))
+
+    def place(self, word: str, model: Model) -> int:
+        at = self.get(word)
+        if at is None:
             own = grams(word)
-            held[word] = sum((self.log.get(g, self.unseen) for g in own), np.zeros(len(self.languages))), len(own)
-        return held[word]
+            row = self.rows[self.n]
+            row[:-1] = sum((model.log.get(g, model.unseen) for g in own), np.zeros(len(model.languages)))
+            row[-1] = len(own)
+            at = self[word] = self.n
+            self.n += 1
+        return at
 
 
-@lru_cache(maxsize=4)
-def _words(model: Model) -> dict[str, tuple[np.ndarray, int]]:
-    """Scores of words that a worker has met, for each model."""
-    return {}
+_HELD: dict[tuple, _Held] = {}
+
+
+def _held(model: Model) -> _Held:
+    """What this worker holds for a model; one model at a time."""
+    key = (*model.languages, len(model.log), model.usual if hasattr(model, "usual") else None)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = _Held(len(model.languages))
+    return _HELD[key]
 
 
 def grams(word: str) -> list[str]:
@@ -160,21 +182,24 @@ def host_priors(scored: DataFrame, host: Column, n: int) -> DataFrame:
     return joined.select("host", F.array(*[(F.col(f"s{i}") + PRIOR * F.when(F.col("parent") == "", whole[i]).otherwise(middle(i))) / (size("s") + PRIOR) for i in range(n)]).alias("prior"))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None) -> DataFrame:
-    """docs with language, posterior and accepted (boolean)."""
+def identify(docs: DataFrame, model: Model, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (those of its columns named in `keep`) with language, posterior and accepted (boolean).
+
+    Texts are read once; the columns that are kept are written with the evidence, so a text that is not kept is not written.
+    """
     added = ("language", "posterior", "accepted")
-    columns = [c for c in docs.columns if c not in added]
+    columns = [c for c in docs.columns if c not in added and (keep is None or c in keep)]
     if not model.languages:
         return docs.select(*[F.col(f"`{c}`") for c in columns], F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     n = len(model.languages)
     of_host = (F.col(f"`{host}`") if host else F.lit(None)).cast("string")
-    known = evidence(docs.select(*[F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(columns)], of_host.alias("__host")), model, f"d_{columns.index(text)}")
-    light = evidence(docs.select(of_host.alias("__host"), F.col(f"`{text}`").alias("__text")), model, "__text").where("fit is not null")
-    priors = host_priors(light.select("__host", _softmax(F.col("text_ll")).alias("own")), F.col("__host"), n)
+    parts = {"__host": of_host, "__declared": (F.col(f"`{declared}`") if declared else F.lit(None)).cast("string"), "__url": (F.col(f"`{url}`") if url else F.lit(None)).cast("string"), "__text": F.col(f"`{text}`").cast("string")}
+    known = evidence(docs.select(*[F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(columns)], *[c.alias(name) for name, c in parts.items()]), model, "__text").drop("__text")
+    known = written(known, "evidence")
+    priors = host_priors(known.where("fit is not null").select("__host", _softmax(F.col("text_ll")).alias("own")), F.col("__host"), n)
     joined = known.join(priors, known["__host"].eqNullSafe(priors["host"]), "left")
-    col = lambda name: F.col(f"d_{columns.index(name)}") if name else F.lit(None).cast("string")
-    votes = _votes(F.lower(F.substring(col(declared), 1, 2)), model.languages, TRUST)
-    suffix = _votes(suffix_language(col(url)), model.languages, TRUST_SUFFIX)
+    votes = _votes(F.lower(F.substring("__declared", 1, 2)), model.languages, TRUST)
+    suffix = _votes(suffix_language(F.col("__url")), model.languages, TRUST_SUFFIX)
     flat = F.array(*[F.lit(1.0 / n)] * n)
     ll = _added(F.col("text_ll"), votes, suffix, F.transform(F.coalesce("prior", flat), lambda x: F.log(x)))
     post = joined.withColumn("__post", _softmax(ll))

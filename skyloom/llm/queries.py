@@ -46,7 +46,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return langid.identify(docs, langid.train(docs)).select("doc_id", "language", "posterior", "accepted")
+    return langid.identify(docs, langid.train(docs), keep=["doc_id"]).select("doc_id", "language", "posterior", "accepted")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
