@@ -50,14 +50,12 @@ def _bits(nside: int) -> int:
     return max(1, nside.bit_length())
 
 
-def _ring_geometry(jr: Column, nside: int) -> tuple[Column, Column, Column]:
-    """Pixels in a quarter of ring jr, whether it is shifted, and pixels before it."""
+def _ring_geometry(jr: Column, nside: int) -> tuple[Column, Column]:
+    """Pixels in a quarter of ring jr, and whether it is shifted."""
     n = nside
     north, south = jr < n, jr > 3 * n
     nr = F.when(north, jr).when(south, 4 * n - jr).otherwise(F.lit(n))
-    shift = F.when(north | south, 0).otherwise((jr - n).bitwiseAND(F.lit(1).cast("long")))
-    before = F.when(north, 2 * jr * (jr - 1)).when(south, n_pixels(n) - 2 * (nr + 1) * nr).otherwise(2 * n * (n - 1) + (jr - n) * 4 * n)
-    return nr, shift, before
+    return nr, F.when(north | south, 0).otherwise((jr - n).bitwiseAND(F.lit(1).cast("long")))
 
 
 def _pick(face: Column, values: tuple[int, ...]) -> Column:
@@ -69,12 +67,17 @@ def nest_of(face: Column, x: Column, y: Column, nside: int) -> Column:
     return face * (nside * nside) + spread_bits(x, b) + F.shiftleft(spread_bits(y, b), 1)
 
 
-def ring_of(face: Column, x: Column, y: Column, nside: int) -> Column:
-    jr = _pick(face, RING_OF_FACE) * nside - x - y - 1
-    nr, shift, before = _ring_geometry(jr, nside)
-    jp = _long((_pick(face, LONGITUDE_OF_FACE) * nr + x - y + 1 + shift) / 2)
-    jp = F.when(jp > 4 * nside, jp - 4 * nside).when(jp < 1, jp + 4 * nside).otherwise(jp)
-    return before + jp - 1
+def _ring(df: DataFrame, face: str, x: str, y: str, nside: int, name: str) -> DataFrame:
+    """df with the ring pixel of base pixel and position, step by step."""
+    col, n = F.col, nside
+    df = df.withColumn("__jr", _pick(col(face), RING_OF_FACE) * n - col(x) - col(y) - 1)
+    nr, shift = _ring_geometry(col("__jr"), n)
+    df = df.withColumns({"__nr": nr, "__sh": shift})
+    north, south = col("__jr") < n, col("__jr") > 3 * n
+    before = F.when(north, 2 * col("__jr") * (col("__jr") - 1)).when(south, n_pixels(n) - 2 * (col("__nr") + 1) * col("__nr")).otherwise(2 * n * (n - 1) + (col("__jr") - n) * 4 * n)
+    df = df.withColumns({"__be": before, "__jp": _long((_pick(col(face), LONGITUDE_OF_FACE) * col("__nr") + col(x) - col(y) + 1 + col("__sh")) / 2)})
+    around = F.when(col("__jp") > 4 * n, col("__jp") - 4 * n).when(col("__jp") < 1, col("__jp") + 4 * n).otherwise(col("__jp"))
+    return df.withColumn(name, col("__be") + around - 1).drop("__jr", "__nr", "__sh", "__be", "__jp")
 
 
 def nest_parts(pixel: Column, nside: int) -> tuple[Column, Column, Column]:
@@ -94,22 +97,25 @@ def with_pixel(df: DataFrame, v: Vector, name: str, nside: int, nested: bool = T
     middle, north = F.abs("__cz") <= 2 / 3, col("__cz") >= 0
     around = F.when(col("__ip") == col("__im"), col("__ip") % 4 + 4).when(col("__ip") < col("__im"), col("__ip") % 4).otherwise(col("__im") % 4 + 8)
     df = df.withColumns({"__face": F.when(middle, around).when(north, col("__nt")).otherwise(col("__nt") + 8).cast("long"), "__px": F.when(middle, col("__jm") % n).when(north, n - col("__km") - 1).otherwise(col("__kp")).cast("long"), "__py": F.when(middle, n - col("__jp") % n - 1).when(north, n - col("__kp") - 1).otherwise(col("__km")).cast("long")})
-    parts = col("__face"), col("__px"), col("__py")
-    df = df.withColumn(name, nest_of(*parts, nside) if nested else ring_of(*parts, nside))
+    if nested:
+        df = df.withColumn(name, nest_of(col("__face"), col("__px"), col("__py"), nside))
+    else:
+        df = _ring(df.drop("__jp"), "__face", "__px", "__py", nside, name)
     return df.drop("__x", "__y", "__z", "__cz", "__tt", "__jp", "__jm", "__nt", "__q", "__ip", "__im", "__kp", "__km", "__face", "__px", "__py")
 
 
 def with_vectors(df: DataFrame, pixel: str, nside: int, nested: bool = True, prefix: str = "") -> DataFrame:
     """df with the unit vector (prefix + x, y, z) to a pixel's centre, step by step."""
-    ring = nest_to_ring(F.col(pixel), nside) if nested else F.col(pixel)
-    df = df.withColumn("__ring", ring)
+    df = with_ring(df, pixel, "__ring", nside) if nested else df.withColumn("__ring", F.col(pixel))
     df = df.withColumns(dict(zip(("__cz", "__phi"), ring_to_z_phi(F.col("__ring"), nside), strict=True)))
     s = F.sqrt(F.greatest(1 - F.col("__cz") * F.col("__cz"), F.lit(0.0)))
     return df.withColumns({f"{prefix}x": s * F.cos("__phi"), f"{prefix}y": s * F.sin("__phi"), f"{prefix}z": F.col("__cz")}).drop("__ring", "__cz", "__phi")
 
 
-def nest_to_ring(pixel: Column, nside: int) -> Column:
-    return ring_of(*nest_parts(pixel, check_nside(nside, True)), nside)
+def with_ring(df: DataFrame, pixel: str, name: str, nside: int) -> DataFrame:
+    """df with the ring pixel of a nested pixel."""
+    df = df.withColumns(dict(zip(("__f", "__rx", "__ry"), nest_parts(F.col(pixel), check_nside(nside, True)), strict=True)))
+    return _ring(df, "__f", "__rx", "__ry", nside, name).drop("__f", "__rx", "__ry")
 
 
 def ring_to_z_phi(pixel: Column, nside: int) -> tuple[Column, Column]:

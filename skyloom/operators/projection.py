@@ -96,6 +96,7 @@ def smoothing_lengths(points: DataFrame, side: float, k: int = NEIGHBOURS, gamma
     base = points.select("id", *AXES)
     out, left, reach = [], base.select("id"), float(side)
     for _ in range(12):
+        within = reach
         cube = [F.floor(F.col(a) / reach).cast("long").alias(f"b{a}") for a in AXES]
         keyed = base.select("id", *AXES, *cube)
         ask = keyed.join(left, "id", "left_semi").toDF("a_id", "a_x", "a_y", "a_z", "ax", "ay", "az")
@@ -104,13 +105,13 @@ def smoothing_lengths(points: DataFrame, side: float, k: int = NEIGHBOURS, gamma
         for b in keys:
             spread = spread.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
 
-        def find(a: pd.DataFrame, near: pd.DataFrame, reach: float = reach) -> pd.DataFrame:
+        def find(a: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
             p, ids, h = near[["x", "y", "z"]].to_numpy(), [], []
             for i, q in zip(a["a_id"], a[["a_x", "a_y", "a_z"]].to_numpy(), strict=True):
                 d = np.sqrt(np.square(p - q).sum(axis=1))
                 if len(d) > k:
                     far = float(np.partition(d, k)[k])
-                    if far <= reach:
+                    if far <= within:
                         ids.append(i)
                         h.append(far / gamma)
             return pd.DataFrame({"id": np.array(ids, np.int64), "h": np.array(h, float)})

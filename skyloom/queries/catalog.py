@@ -548,28 +548,11 @@ def pix_family(spark, sf):
 @query(f"SELECT count(*) AS n, count(DISTINCT p) AS distinct_n, CAST(0 AS BIGINT) AS wrong FROM range({hp.n_pixels(NSIDE)}) t(p)")
 def pix_round_trip(spark, sf):
     df = hp.with_vectors(spark.range(hp.n_pixels(NSIDE)).select(F.col("id").alias("pix")), "pix", NSIDE)
-    df = hp.with_pixel(df, g.vector(), "back", NSIDE).withColumn("ring", hp.nest_to_ring(F.col("pix"), NSIDE))
+    df = hp.with_ring(hp.with_pixel(df, g.vector(), "back", NSIDE), "pix", "ring", NSIDE)
     df = hp.with_pixel(hp.with_vectors(df, "ring", NSIDE, nested=False, prefix="r"), g.vector("r"), "again", NSIDE, nested=False)
     return df.agg(F.count("*").alias("n"), F.count_distinct("ring").alias("distinct_n"), F.count_if((F.col("back") != F.col("pix")) | (F.col("again") != F.col("ring"))).alias("wrong"))
 
 
-@query()
-def map_rotate(spark, sf):
-    values = maps.full_map(maps.deposited(fx.halos(spark, sf), _centred(), F.col("mass"), NSIDE), NSIDE)
-    return maps.rotated(values, NSIDE, 0.4, 1.1)
-
-
-@query()
-def map_smooth(spark, sf):
-    return maps.smoothed(fx.halos(spark, sf), _centred(), F.col("radius") / 20, F.col("mass"), NSIDE)
-
-
-@query()
-def mask_apertures(spark, sf):
-    h = fx.halos(spark, sf)
-    return maps.aperture_masks(h, NSIDE, [1.0, 5.0], [(3.0, 3.1), (3.1, 3.3)], _centred(), F.col("mass"), F.col("radius") * 10)
-
-
 @query("WITH b(lo, hi) AS (VALUES (12e0, 12.5e0), (12.5e0, 13e0)), h AS (SELECT p_partkey AS halo_index, 12 + p_size / 50.0e0 AS lm FROM part) SELECT lo, hi, count(*) AS n FROM h JOIN b ON lm > lo AND lm <= hi GROUP BY ALL")
 def mask_mass_bins(spark, sf):
     bins = spark.createDataFrame(maps.mask_bins(12.0, 13.0), "lo double, hi double")
