@@ -44,7 +44,7 @@ def small(df: DataFrame, rows: int, width: int = 64) -> bool:
 class WordHash(dict):
     """Byte word -> 64-bit hash, computed once for each word. clear_if_full bounds its memory."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word)
