@@ -34,7 +34,7 @@ def cell_copies(view, pieces: DataFrame, cells: int) -> DataFrame:
     return out.withColumn("__n", first).where("__n = 1").drop("__n")
 
 
-def pair_counts(copies: DataFrame, window: int | None = 0) -> DataFrame:
+def pair_counts(copies: DataFrame, window: int | None = 1) -> DataFrame:
     """cell, copies, pairs: pairs of copies whose snapshots differ by `window` at most (None: any)."""
     n = copies.groupBy("cell", "snap").agg(F.count("*").alias("n"))
     a, b = n.select("cell", F.col("snap").alias("s"), F.col("n").alias("a")), n.select("cell", F.col("snap").alias("t"), F.col("n").alias("b"))
@@ -48,13 +48,20 @@ def _uid(df: DataFrame) -> DataFrame:
     return df.withColumn("uid", F.struct("snap", *LABEL, "layer"))
 
 
-def close_pairs(copies: DataFrame, radius: float, cell_size: float, box: float, window: int | None = 0, angle: float | None = None, los: float | None = None) -> DataFrame:
+def search_radius(cell_size: float, box: float, los: float | None = None, max_separation: float | None = None) -> float:
+    """How far apart reported copies may be: `los` (None: the box) plus a cell's diagonal, a cell's side, or max_separation."""
+    return max((box if los is None else los) + 3**0.5 * cell_size, (1 + TOUCHING) * cell_size, max_separation or 0.0)
+
+
+def close_pairs(copies: DataFrame, cell_size: float, box: float, window: int | None = 1, angle: float | None = None, los: float | None = None, max_separation: float | None = None, radius: float | None = None) -> DataFrame:
     """Pairs of copies of a cell within a radius, each once: separation, los_separation, angle, touching, line_of_sight.
 
     window: the largest difference of their snapshots (None: any). Pairs at the same place are left out. touching: their
     separation is a cell's side. line_of_sight: within `angle` radians as seen by the observer and `los` along the sight,
-    and not a periodic replica (same row and an offset of whole boxes).
+    and not a periodic replica (same row and an offset of whole boxes). radius: search_radius if None; a smaller one loses
+    pairs along a line of sight.
     """
+    radius = search_radius(cell_size, box, los, max_separation) if radius is None else radius
     side = [F.floor(F.col(a) / radius).cast("long") for a in g.AXES]
     keyed = _uid(copies).select("cell", "snap", *LABEL, "layer", "row", *g.AXES, "uid", *[s.alias(f"b{a}") for s, a in zip(side, g.AXES, strict=True)])
     looks = keyed
@@ -75,9 +82,9 @@ def close_pairs(copies: DataFrame, radius: float, cell_size: float, box: float,
     return pairs.withColumn("line_of_sight", seen).drop("bx", "by", "bz", "a_uid", "b_uid")
 
 
-def closest_copy(copies: DataFrame, radius: float, cell_size: float, box: float, window: int | None = 0) -> DataFrame:
-    """cell, snap, tile, layer, closest: the distance to the nearest other copy, null if there is none within the radius."""
-    pairs = close_pairs(copies, radius, cell_size, box, window)
+def closest_copy(copies: DataFrame, cell_size: float, box: float, window: int | None = 1, radius: float | None = None) -> DataFrame:
+    """cell, snap, tile, layer, closest: the distance to the nearest other copy, null if there is none within the radius (None: search_radius)."""
+    pairs = close_pairs(copies, cell_size, box, window, radius=radius)
     ends = [pairs.select("cell", *[F.col(p + c).alias(c) for c in ("snap", *LABEL, "layer")], "separation") for p in ("a_", "b_")]
     best = ends[0].union(ends[1]).groupBy("cell", "snap", *LABEL, "layer").agg(F.min("separation").alias("closest"))
     return copies.select("cell", "snap", *LABEL, "layer").join(best, ["cell", "snap", *LABEL, "layer"], "left")
@@ -114,9 +121,10 @@ class Report:
         spark.createDataFrame(list(row.items()), "name string, value string").write.parquet(f"{path}/report")
 
 
-def check(view, z_min: float, z_max: float, cells: int, radius: float, angle: float | None = None, los: float | None = None, window: int | None = 0) -> Report:
+def check(view, z_min: float, z_max: float, cells: int, angle: float | None = None, los: float | None = None, window: int | None = 1, max_separation: float | None = None) -> Report:
     copies = cell_copies(view, view.pieces(z_min, z_max), cells)
-    pairs = close_pairs(copies, radius, view.box / cells, view.box, window, angle, los)
+    radius = search_radius(view.box / cells, view.box, los, max_separation)
+    pairs = close_pairs(copies, view.box / cells, view.box, window, angle, los, radius=radius)
     return Report(copies, pairs, {**view.metadata((z_min, z_max)), "cells": cells, "radius": radius, "window": window})
 
 

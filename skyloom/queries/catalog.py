@@ -370,7 +370,7 @@ _PAIRS = f"{_COPIES}, p AS (SELECT a.cell, a.snap AS a_snap, a.nx AS a_nx, a.ny
 
 
 def _pairs(spark):
-    return repeats.close_pairs(_copies(spark), 400.0, BOX / CELLS, BOX, 0, 0.1)
+    return repeats.close_pairs(_copies(spark), BOX / CELLS, BOX, 0, 0.1, radius=400.0)
 
 
 @query(f"{_PAIRS} SELECT cell, a_snap, a_nx, a_ny, a_nz, b_nx, b_ny, b_nz, round(separation, 6) AS separation, touching, line_of_sight FROM pairs")
@@ -386,7 +386,31 @@ def touching_pairs(spark, sf):
 
 @query(f"{_PAIRS}, ends AS (SELECT cell, a_snap AS snap, a_nx AS nx, a_ny AS ny, a_nz AS nz, separation FROM pairs UNION ALL SELECT cell, b_snap, b_nx, b_ny, b_nz, separation FROM pairs), best AS (SELECT cell, snap, nx, ny, nz, min(separation) AS closest FROM ends GROUP BY ALL) SELECT c.cell, c.snap, c.nx, c.ny, c.nz, round(closest, 6) AS closest FROM copies c LEFT JOIN best USING (cell, snap, nx, ny, nz)")
 def closest_copy(spark, sf):
-    return repeats.closest_copy(_copies(spark), 400.0, BOX / CELLS, BOX).select("cell", "snap", *TILE, F.round("closest", 6).alias("closest"))
+    return repeats.closest_copy(_copies(spark), BOX / CELLS, BOX, 0, 400.0).select("cell", "snap", *TILE, F.round("closest", 6).alias("closest"))
+
+
+# The same at the operator's own reach: a box along the sight plus a cell's diagonal, and neighbouring snapshots.
+_FAR_PAIRS = _PAIRS.replace("a.snap = b.snap AND (a.nx, a.ny, a.nz) < (b.nx, b.ny, b.nz)", "b.snap <= a.snap + 1 AND (a.snap, a.nx, a.ny, a.nz) < (b.snap, b.nx, b.ny, b.nz)").replace("separation <= 400", "separation <= 1000 + 125 * sqrt(3e0)")
+
+
+def _far_pairs(spark):
+    return repeats.close_pairs(_copies(spark), BOX / CELLS, BOX, angle=0.1)
+
+
+@query(f"{_FAR_PAIRS} SELECT cell, a_snap, a_nx, a_ny, a_nz, b_snap, b_nx, b_ny, b_nz, round(separation, 6) AS separation, touching, line_of_sight FROM pairs")
+def close_pairs_whole(spark, sf):
+    return _far_pairs(spark).select("cell", *[f"{p}_{t}" for p in "ab" for t in ("snap", *TILE)], F.round("separation", 6).alias("separation"), "touching", "line_of_sight")
+
+
+@query(f"{_FAR_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (touching) AS touching, count(*) FILTER (line_of_sight) AS line_of_sight, (SELECT count(*) FROM (SELECT DISTINCT cell, list_sort([[a_nx, a_ny, a_nz], [b_nx, b_ny, b_nz]]) FROM pairs WHERE touching)) AS faces FROM pairs")
+def touching_pairs_whole(spark, sf):
+    p = _far_pairs(spark)
+    return p.agg(F.count("*").alias("pairs"), F.count_if("touching").alias("touching"), F.count_if("line_of_sight").alias("line_of_sight")).crossJoin(repeats.touching_faces(p).agg(F.count("*").alias("faces")))
+
+
+@query(SQL["closest_copy"].replace(_PAIRS, _FAR_PAIRS))
+def closest_copy_whole(spark, sf):
+    return repeats.closest_copy(_copies(spark), BOX / CELLS, BOX).select("cell", "snap", *TILE, F.round("closest", 6).alias("closest"))
 
 
 _FEW = 12
