@@ -448,6 +448,34 @@ def neighbour_tiles_clash(spark, sf):
     return orientation.neighbouring_tiles(_few(spark), CELLS, _FEW, seed=3, extent=1)
 
 
+# The same over the whole table, and the lattice to the operator's own extent.
+_ALL_FACES = _FACES.replace(f" WHERE row < {_FEW}", "")
+_EXTENT = 3
+
+
+@query(SQL["face_keys"].replace(_FACES, _ALL_FACES))
+def face_keys_whole(spark, sf):
+    return orientation.face_keys(fx.ORIENTATIONS.frame(spark), CELLS)
+
+
+@query(SQL["clashing_rows"].replace(_FACES, _ALL_FACES))
+def clashing_rows_whole(spark, sf):
+    return orientation.clashing_pairs(fx.ORIENTATIONS.frame(spark), CELLS)
+
+
+@query(SQL["clash_free_count"].replace(_FACES, _ALL_FACES))
+def clash_free_count_whole(spark, sf):
+    return orientation.clashing_pairs(fx.ORIENTATIONS.frame(spark), CELLS).agg(F.count("*").alias("n"))
+
+
+_ALL_TILE_ROW = {p: fx.row_sql(None, 3, (f"{p}x", f"{p}y", f"{p}z")) for p in "ab"}
+
+
+@query(SQL["neighbour_tiles_clash"].replace(_FACES, _ALL_FACES).replace("range(-1, 2)", f"range(-{_EXTENT}, {_EXTENT + 1})").replace("<= 1)", f"<= {_EXTENT})").replace(_tile_row("a"), _ALL_TILE_ROW["a"]).replace(_tile_row("b").replace("by", "by_"), _ALL_TILE_ROW["b"].replace("by", "by_")))
+def neighbour_tiles_clash_whole(spark, sf):
+    return orientation.neighbouring_tiles(fx.ORIENTATIONS.frame(spark), CELLS, len(fx.ORIENTATIONS), seed=3, extent=_EXTENT)
+
+
 # Projection.
 
 _REGION = (100.0, 900.0, 100.0, 900.0)
