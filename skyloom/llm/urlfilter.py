@@ -2,9 +2,10 @@
 
 split_urls cuts host and path; rules (host, path prefix, allow or block) fit a host and its subdomains, and the longest rule
 decides. Urls without a rule are judged by link-graph propagation over the graph of hosts:
-- trust is personalised PageRank that restarts at trusted hosts, along links (who is linked from trusted hosts is trusted);
-- distrust is personalised PageRank that restarts at blocked hosts, along reversed links (who links to them is distrusted).
-A host is blocked if its distrust is over MIN_DISTRUST times the distrust of an average seed and exceeds its trust.
+- trust is personalised PageRank that restarts at hosts with allowed urls, along links (who is linked from trusted hosts is trusted);
+- distrust is personalised PageRank that restarts at hosts with blocked urls, along reversed links (who links to them is distrusted).
+A seed weighs the share of its urls with a rule that are allowed (blocked), so a host with both sends both.
+A host is blocked if its distrust is over MIN_DISTRUST times the restart of a wholly blocked host and exceeds its trust.
 
 Everything is DataFrame or SQL functions. Links are counted by host pair before any shuffle of them; a round joins ranks with
 the pairs on one host and sums by the other, combined before the shuffle, so a host in a third of all links is summed in parts
@@ -75,20 +76,20 @@ def judged_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     links = written(host_links(split.select("host", "html")), "links")
     urls = split.select("page_id", "host", "path", rule.alias("rule"), by_rule.alias("by_rule"))
     by_host = written(urls.where("host <> '' and by_rule is not null").groupBy("host").agg(F.sum(F.when(F.col("by_rule") == "allow", 1).otherwise(0)).alias("allowed"), F.count("*").alias("n")), "seeds")
-    trusted, blocked = by_host.where("allowed = n"), by_host.where("allowed = 0")
-    n = by_host.agg(F.count_if(F.expr("allowed = n")).alias("t"), F.count_if(F.expr("allowed = 0")).alias("b")).first()
-    share = lambda hosts, k: hosts.select("host", F.lit(1.0 / max(k, 1)).alias("share"))
-    trust = page_rank(links, share(trusted, n["t"])).withColumnRenamed("rank", "trust")
+    weights = {"allow": F.col("allowed") / F.col("n"), "block": (F.col("n") - F.col("allowed")) / F.col("n")}
+    n = by_host.agg(*[F.sum(w).alias(k) for k, w in weights.items()]).first()
+    share = lambda k: by_host.where(weights[k] > 0).select("host", (weights[k] / (n[k] or 1.0)).alias("share"))
+    trust = page_rank(links, share("allow")).withColumnRenamed("rank", "trust")
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = page_rank(back, share(blocked, n["b"])).withColumnRenamed("rank", "distrust")
+    distrust = page_rank(back, share("block")).withColumnRenamed("rank", "distrust")
     scores = written(trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "scores")
-    bad = (F.col("distrust") > MIN_DISTRUST * (1 - DAMPING) / max(n["b"], 1)) & (F.col("distrust") > F.col("trust"))
+    bad = (F.col("distrust") > MIN_DISTRUST * (1 - DAMPING) / (n["block"] or 1.0)) & (F.col("distrust") > F.col("trust"))
     joined = urls.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce(F.col("by_rule"), F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     return joined
 
 
 def sql(rules: list[tuple[str, str, str]] = RULES) -> str:
-    """The same in DuckDB's SQL, with the rounds written out."""
+    """The same in DuckDB's SQL, with the rounds written out; its seeds are the hosts with one verdict only, which tells where hosts link."""
     lines = ",\n".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     cut = lambda c: f"CASE WHEN strpos({c}, '://') > 0 THEN substr({c}, strpos({c}, '://') + 3) ELSE '' END"
     host = lambda c: f"translate(regexp_extract({c}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"

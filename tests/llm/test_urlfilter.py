@@ -56,3 +56,20 @@ def test_distrust_runs_against_links(spark):
     trust, distrust = plain_rank(links, ["good.com"]), plain_rank({(t, s): w for (s, t), w in links.items()}, ["bad.net"])
     for r in got.values():
         assert r["trust"] == pytest.approx(trust.get(r["host"], 0)) and r["distrust"] == pytest.approx(distrust.get(r["host"], 0))
+
+
+def test_hosts_with_both_verdicts_are_seeds(spark):
+    rows = [(i, f"http://half.example.com/en/{i}", None) for i in range(3)]
+    rows += [(3, "http://half.example.com/ok", '<a href="http://read.org/">'), (4, "http://farm.org/1", '<a href="http://half.example.com/">'), (5, "http://read.org/1", None), (6, "http://half.example.com", None)]
+    got = {r["page_id"]: r for r in urlfilter.judged_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i]["verdict"] for i in (0, 3, 4, 5)} == {0: "block", 3: "allow", 4: "block", 5: "allow"}
+    links = {("half.example.com", "read.org"): 1, ("farm.org", "half.example.com"): 1}
+    trust, distrust = plain_rank(links, ["half.example.com"]), plain_rank({(t, s): w for (s, t), w in links.items()}, ["half.example.com"])
+    for r in got.values():
+        assert r["trust"] == pytest.approx(trust.get(r["host"], 0)) and r["distrust"] == pytest.approx(distrust.get(r["host"], 0))
+
+
+def test_a_seed_weighs_its_share_of_urls(spark):
+    rows = [(1, "http://a.example.com/en/1", None), (2, "http://a.example.com/2", None), (3, "http://b.net/es/", None)]
+    got = {r["host"]: r for r in urlfilter.judged_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["a.example.com"]["trust"] == pytest.approx(0.15) and got["a.example.com"]["distrust"] == pytest.approx(0.05) and got["b.net"]["distrust"] == pytest.approx(0.1)
