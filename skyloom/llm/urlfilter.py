@@ -48,10 +48,11 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: links of pages (host, html) with a full address, by pair of hosts; links within a host are left out."""
-    target = F.explode(F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), F.lit(1)))
+    """src, dst, weight: links of pages (host, html) with a host (after a scheme, or the page's by //), by pair of hosts; links within a host are left out."""
+    target = F.explode(F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1)))
     links = pages.where("host <> ''").select(F.col("host").alias("src"), target.alias("url"))
-    return links.select("src", host_and_path(F.col("url"))[0].alias("dst")).where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    url = F.when(F.startswith("url", F.lit("//")), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))
+    return links.select("src", host_and_path(url)[0].alias("dst")).where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def page_rank(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:

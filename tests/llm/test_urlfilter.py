@@ -73,3 +73,9 @@ def test_a_seed_weighs_its_share_of_urls(spark):
     rows = [(1, "http://a.example.com/en/1", None), (2, "http://a.example.com/2", None), (3, "http://b.net/es/", None)]
     got = {r["host"]: r for r in urlfilter.judged_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got["a.example.com"]["trust"] == pytest.approx(0.15) and got["a.example.com"]["distrust"] == pytest.approx(0.05) and got["b.net"]["distrust"] == pytest.approx(0.1)
+
+
+def test_links_with_the_scheme_of_the_page(spark):
+    html = """<a href="//b.org/x?u=http://c.org/"><a href='HTTP://d.org'><a href="/local//e.org">"""
+    pages = spark.createDataFrame([("a.org", html)], "host string, html string")
+    assert {r["dst"] for r in urlfilter.host_links(pages).collect()} == {"b.org", "d.org"}
