@@ -4,7 +4,8 @@ For each document the log posterior of a language is the sum of
 - text: log likelihood of its words' character trigrams under a naive Bayes model (add-one smoothed), tempered to TEMPER of its
   size and held to MOST, since neighbouring trigrams are not independent;
 - declared: log(TRUST) if the declared language is this one, else log of the rest over the others; none if undeclared or unknown;
-- suffix: the same for a language segment of the address's path (/en/) or a country suffix of the host, with less trust;
+- suffix: the same for a language segment of the address's path (/en/) or a country suffix of the host, with less trust; a row
+  without an address has its host for one;
 - host: log of the host's prior, smoothed in three levels: all documents, then the host's parent domain, then the host, each
   level counting as PRIOR documents for the next.
 Priors come from a grouped aggregation of the documents' text posteriors (summed by host before the shuffle, so a hot host is
@@ -18,7 +19,7 @@ Fitting: the model is counted on a bounded sample, PER_LANGUAGE documents of eac
 which the first SAMPLE_CHARS characters count. Everything else covers all documents and whole texts.
 
 Cases: null or empty text has only the other evidence and is rejected; null language, url or host give no evidence of
-their kind (a null host is one host). Unknown declared codes give none. Ties go to the first language by name. Repeated rows
+their kind (a null host is one host). Labels and declared codes count by their first subtag (pt-BR is pt). Unknown codes give none. Ties go to the first language by name. Repeated rows
 and ids give a row each. Without a labelled document every row is rejected with language null. Extra columns are kept.
 """
 
@@ -35,6 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import arrow_schema, written
+from skyloom.llm.maintext import main_texts
+from skyloom.llm.urlfilter import host_and_path
 
 PER_LANGUAGE, SAMPLE_CHARS = 400, 2000
 TEMPER, MOST, TRUST, TRUST_SUFFIX, PRIOR, MIN_POSTERIOR, MIN_FIT = 0.1, 12.0, 0.9, 0.7, 20.0, 0.6, 4.0
@@ -114,10 +117,16 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+def first_subtag(code: Column) -> Column:
+    """The language of a code, lower-cased, without region or script; null if empty."""
+    found = F.lower(F.trim(F.split(code, "[-_]")[0]))
+    return F.when(found != "", found)
+
+
 def train(docs: DataFrame, language: str = "lang", text: str = "text", order: str = "doc_id") -> Model:
     """The model of the bounded sample of labelled rows."""
     place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    rows = docs.select(F.lower(F.col(f"`{language}`")).alias("l"), F.xxhash64(F.col(f"`{order}`")).alias("h"), F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS).alias("t"))
+    rows = docs.select(first_subtag(F.col(f"`{language}`")).alias("l"), F.xxhash64(F.col(f"`{order}`")).alias("h"), F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS).alias("t"))
     sample = rows.where("l is not null and length(t) >= 20").withColumn("p", place).where(F.col("p") <= PER_LANGUAGE)
     return Model([(r["l"], r["t"]) for r in sample.orderBy("l", "p").collect()])
 
@@ -161,6 +170,14 @@ def _votes(code: Column, languages: list[str], trust: float) -> Column:
     return F.array(*[F.when(known & (code == x), math.log(trust)).when(known, math.log(max(rest, 1e-9))).otherwise(0.0) for x in languages])
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, text (main text), lang (the html element's) and host (the url's; null where there is none) of every row of pages."""
+    lang = F.regexp_extract(F.col("html").cast("string"), r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z0-9_-]+)""", 1)
+    host = host_and_path(F.col("url").cast("string"))[0]
+    named = pages.select("page_id", "url", "html", F.when(lang != "", lang).alias("lang"), F.when(host != "", host).alias("host"))
+    return main_texts(named, ("lang", "host")).drop("n_chars")
+
+
 def suffix_language(url: Column) -> Column:
     """The language segment that an address's path begins with, or else the last label of its host, lower-cased."""
     segment = F.lower(F.regexp_extract(url, r"^[^:]*://[^/?#]*/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", 1))
@@ -198,8 +215,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: str |
     known = written(known, "evidence")
     priors = host_priors(known.where("fit is not null").select("__host", _softmax(F.col("text_ll")).alias("own")), F.col("__host"), n)
     joined = known.join(priors, known["__host"].eqNullSafe(priors["host"]), "left")
-    votes = _votes(F.lower(F.substring("__declared", 1, 2)), model.languages, TRUST)
-    suffix = _votes(suffix_language(F.col("__url")), model.languages, TRUST_SUFFIX)
+    votes = _votes(first_subtag(F.col("__declared")), model.languages, TRUST)
+    suffix = _votes(suffix_language(F.coalesce("__url", F.concat(F.lit("http://"), "__host"))), model.languages, TRUST_SUFFIX)
     flat = F.array(*[F.lit(1.0 / n)] * n)
     ll = _added(F.col("text_ll"), votes, suffix, F.transform(F.coalesce("prior", flat), lambda x: F.log(x)))
     post = joined.withColumn("__post", _softmax(ll))

@@ -251,14 +251,15 @@ def main_text(html: str | None) -> str:
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of every row of pages (page_id, url, html)."""
+def main_texts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, url, text, n_chars (code points) of every row of pages (page_id, url, html), and its columns of strings named in `keep`."""
+    result = ", ".join([RESULT, *(f"{c} string" for c in keep)])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = [main_text(x.as_py()) for x in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow_schema(RESULT))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *part.columns[3:]], schema=arrow_schema(result))
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(extract, RESULT)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), *[F.col(c).cast("string") for c in keep]).mapInArrow(extract, result)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import ann, decontam, langid, linededup, maintext, mixing, neardup, tokencount, tokenfile, urlfilter
-from skyloom.llm.common import shared_dir, table
+from skyloom.llm.common import shared_dir, table, written
 
 #: The vocabulary is a parameter of the operators; the queries take the public byte-level one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,6 +49,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs), keep=["doc_id"]).select("doc_id", "language", "posterior", "accepted")
 
 
+def op6_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = written(langid.page_texts(table(spark, sf_dir, "pages")), "texts")
+    model = langid.train(pages, order="page_id")
+    return langid.identify(pages, model, host="host", url="url", keep=["page_id"]).select("page_id", "language", "posterior", "accepted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_source_mix": op5_source_mix,
     "op6_language_id": op6_language_id,
+    "op6_page_language": op6_page_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,

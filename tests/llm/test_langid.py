@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm import langid
+from skyloom.llm import langid, queries
 
 SYLLABLES = {"de": "ung sch ein der ich keit lich für".split(), "en": "the ing tion and er was of sh".split(), "fr": "eau que les ère tion oux ment des".split()}
 
@@ -54,3 +54,24 @@ def test_empty(spark, model):
     assert langid.identify(docs.where("false"), model).count() == 0
     nothing = langid.train(docs.where("false"))
     assert [r["accepted"] for r in langid.identify(docs, nothing).collect()] == [False] * 3
+
+
+def test_regions_of_codes_and_host_suffixes_count(spark):
+    named = spark.createDataFrame([(i, t, {"de": "de-AT", "en": "eng", "fr": "fr_CA"}[x], s) for i, t, x, s in rows()], "doc_id long, text string, lang string, source string")
+    model = langid.train(named)
+    assert model.languages == ["de", "eng", "fr"]
+    data = [(1, "xq", "DE-ch", None), (2, "xq", "eng", None), (3, "xq", None, "news.example.fr")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["language"] for r in langid.identify(docs, model).collect()} == {1: "de", 2: "eng", 3: "fr"}
+
+
+def test_pages_have_every_evidence(spark, tmp_path):
+    page = lambda text, lang="": f'<!DOCTYPE html><HTML class="x"{lang}><body><article><h1>{text[:20]}</h1><p>{text}</p></article></body></html>'
+    data = [(i, f"http://a.host{i % 4}.com/x", page(t, f" lang='{x}'")) for i, t, x, _ in rows()]
+    data += [(1000, "http://other.com/fr/1", page("xq")), (1001, None, page("xq", ' lang="de-AT"')), (1002, "http://h.com", None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    assert [tuple(r) for r in langid.page_texts(pages).where("page_id in (0, 1001)").select("page_id", "lang", "host").orderBy("page_id").collect()] == [(0, "de", "a.host0.com"), (1001, "de-AT", None)]
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in queries.op6_page_language(spark, str(tmp_path)).collect()}
+    assert len(got) == len(data) and all(got[i]["language"] == x for i, _, x, _ in rows())
+    assert got[1000]["language"] == "fr" and got[1001]["language"] == "de" and not got[1002]["accepted"]
