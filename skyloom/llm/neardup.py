@@ -18,8 +18,8 @@ Cost: a group of n copies that link to their source takes n comparisons; r membe
 counts inside blocks, spread over tasks.
 
 Cases: a text without words (or null) has n_shingles 0 and its own component. A null doc_id takes no part: component_id is
-null and it is kept. Rows that share a doc_id share a node, so all their links count for it; each row is returned. An empty
-table gives an empty result. Other columns are not read.
+null and it is kept. Rows that share a doc_id share a node, so all their links count for it, whatever their texts; each row is
+returned. Classes have numbers of their own, and a class is held by a text of its own set. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ REGISTERS = BANDS * ROWS
 JUDGED = 0.60
 #: Shingles to a block of a group that is not yet connected.
 BLOCK_SHINGLES = 400_000
-#: Ids of documents with company (8 bytes each) are broadcast up to so many, and joined by shuffle beyond.
+#: Ids of classes with company and of their documents (16 bytes each) are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240101))
 _XOR, _MUL = _RNG.integers(0, 2**64, REGISTERS, np.uint64), _RNG.integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,6 +87,24 @@ def linked(common: np.ndarray | int, n_a, n_b, percent: int = SIMILARITY_PERCENT
     return 100 * common >= percent * (n_a + n_b - common)
 
 
+def set_id(members: np.ndarray) -> tuple[int | None, int | None]:
+    digest = xxhash.xxh3_128_digest(members.tobytes()) if len(members) else b""
+    return (int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)) if digest else (None, None)
+
+
+def with_sets(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns named in `keep`, and the id of the text's set (null if empty), of each row."""
+    schema = ", ".join(["doc_id long, text string", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "set_a long, set_b long"])
+    names = ["doc_id", "text", *keep, "set_a", "set_b"]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [set_id(shingle_set(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(name, schema)
+
+
 SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
 
 
@@ -101,9 +119,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for text in part.column(1):
                     members = shingle_set(text.as_py())
                     n.append(len(members))
-                    digest = xxhash.xxh3_128_digest(members.tobytes()) if len(members) else b""
-                    a.append(int.from_bytes(digest[:8], "big", signed=True) if digest else None)
-                    b.append(int.from_bytes(digest[8:], "big", signed=True) if digest else None)
+                    own = set_id(members)
+                    a.append(own[0])
+                    b.append(own[1])
                     regs.append(registers(members).tobytes() if len(members) > 2 else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary())], schema=arrow_schema(SKETCHES))
 
@@ -215,13 +233,29 @@ def _remaining(groups: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
     return rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity 0.75 or more), kept, for each row of docs."""
+def _texts(docs: DataFrame, reps: DataFrame, several: DataFrame | None) -> DataFrame:
+    """id and a text of its set for each class of reps. several: the doc_ids with more than one set, None if there are none."""
+    named = reps.select("id", F.col("doc").alias("doc_id"), "set_a", "set_b")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pairs = named.select("doc_id", "id") if several is None else named.join(several, "doc_id", "left_anti").select("doc_id", "id")
+    pairs = F.broadcast(pairs) if reps.count() <= BROADCAST_ROWS else pairs
+    texts = rows.join(pairs, "doc_id").select("id", "text").dropDuplicates(["id"])
+    if several is None:
+        return texts
+    own = with_sets(rows.join(several, "doc_id", "left_semi")).join(named, ["doc_id", "set_a", "set_b"])
+    return texts.unionByName(own.select("id", "text").dropDuplicates(["id"]))
+
+
+def grouped_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """sketches of all rows; classes (set_a, set_b, id, doc: its smallest doc_id); links of classes; doc_ids with several sets, None if none."""
     sketched = written(sketches(docs), "sketches")
-    first = F.min_by(F.struct(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "doc_id").alias("first")
-    classes = written(sketched.where("set_a is not null").groupBy("set_a", "set_b").agg(first).select("set_a", "set_b", "first.*"), "classes")
-    sets = classes.select("set_a", "set_b", "id")
-    keyed = bands(classes.where("sketch is not null and id is not null"))
+    differ = F.expr("min(set_a) <> max(set_a) or min(set_b) <> max(set_b) or count(set_a) > 0 and count(set_a) < count(*)")
+    several = written(sketched.where("doc_id is not null").groupBy("doc_id").agg(differ.alias("d")).where("d").select("doc_id"), "several")
+    several = None if several.isEmpty() else several
+    first = F.min_by(F.struct(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc_id").alias("first")
+    found = sketched.where("set_a is not null").groupBy("set_a", "set_b").agg(first)
+    classes = written(found.select("set_a", "set_b", "first.*", F.monotonically_increasing_id().alias("id")), "classes")
+    keyed = bands(classes.where("sketch is not null and doc is not null"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(keyed.join(buckets, "key").select("key", "id", "size"), "members")
     company = members.groupBy("id").agg(F.sum("size").alias("company"))
@@ -230,15 +264,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     needed = written(groups.select("id").distinct(), "needed")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    reps = written(classes.where("sketch is not null").select("id", "n_shingles", "sketch").join(needed, "id", "left_semi"), "sketches")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "texts")
+    reps = written(classes.where("sketch is not null").join(needed, "id", "left_semi"), "sketches")
+    texts = written(_texts(docs, reps, several), "texts")
     pairs = written(_likely_pairs(groups.where("id <> pivot"), reps), "pairs")
     links = written(_confirmed(pairs, texts), "links")
-    labels = components(links)
-    more = written(_remaining(groups, labels, reps, texts), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    known = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id", "doc_id"))
+    more = written(_remaining(groups, components(links), reps, texts), "links")
+    return sketched, classes.select("set_a", "set_b", "id", "doc"), links if more.isEmpty() else links.union(more), several
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity 0.75 or more), kept, for each row of docs."""
+    sketched, classes, links, several = grouped_rows(docs)
+    rows = sketched.select("doc_id", "n_shingles", "set_a", "set_b")
+    if several is not None:
+        shared = written(rows.join(several, "doc_id", "left_semi").join(classes, ["set_a", "set_b"]).select("doc_id", "id").distinct(), "shared")
+        links = links.union(shared.join(shared.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
+    labels = components(links).withColumnRenamed("node", "id").join(classes.select("id", "doc"), "id")
+    labels = labels.join(labels.groupBy("component").agg(F.min("doc").alias("least")), "component").select("id", "least")
+    known = rows.join(classes, ["set_a", "set_b"], "left").join(labels, "id", "left").withColumn("least", F.coalesce("least", "doc"))
+    if several is not None:
+        # A row without words has the component of the other rows of its doc_id.
+        at = shared.join(classes.select("id", "doc"), "id").join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("least", "doc")).alias("of_id"))
+        known = known.join(at, "doc_id", "left").withColumn("least", F.coalesce("least", "of_id"))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "doc_id"))
     return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def chosen(docs: DataFrame) -> DataFrame:
+    """doc_id, set_a, set_b: one set of each component of texts (a shared doc_id joins none), by the smallest doc_id; every doc_id of texts without words."""
+    sketched, classes, links, _ = grouped_rows(docs)
+    rows = sketched.where("doc_id is not null").select("doc_id", "set_a", "set_b")
+    group = classes.join(components(links).withColumnRenamed("node", "id"), "id", "left").where("doc is not null").select(F.coalesce("component", "id").alias("group"), "doc", "set_a", "set_b")
+    best = group.groupBy("group").agg(F.min_by(F.struct("doc", "set_a", "set_b"), F.struct("doc", "set_a", "set_b")).alias("b")).select(F.col("b.doc").alias("doc_id"), "b.set_a", "b.set_b")
+    return best.unionByName(rows.where("set_a is null").distinct())

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from skyloom.llm import graph, neardup
 
 from . import brute
@@ -64,6 +65,28 @@ def test_nulls_ties_and_empty(spark):
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
 
+def recrawls():
+    rng = random.Random(11)
+    a, b, c = (words(rng, 100) for _ in range(3))
+    rows = [(5, a), (5, b), (9, edited(rng, a, 2)), (8, edited(rng, b, 2)), (3, edited(rng, b, 2)), (7, c), (7, []), (6, edited(rng, c, 2)), (7, c), (12, words(rng, 50)), (12, words(rng, 50)), (13, [])]
+    return [(d, " ".join(w)) for d, w in rows]
+
+
+def test_texts_that_share_an_id(spark):
+    rows = recrawls()
+    want, n = brute.component_of(rows), {t: len(brute.shingle_set(t)) for _, t in rows}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((d, n[t], want[d], want[d] == d) for d, t in rows)
+
+
+def test_the_stage_keeps_each_text_that_shares_an_id(spark):
+    rows = recrawls()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    # 5's first text (with 9's), 3's copy of its second, 6's copy of 7's, both of 12, and the empty ones of 7 and 13.
+    assert sorted(map(tuple, got)) == sorted(rows[i] for i in (0, 4, 7, 9, 10, 6, 11))
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**64, 4000, np.uint64)
