@@ -87,7 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op5_source_mix": mixing.sql(),
-    "op6_language_id": op6_language_id,
     "op7_line_dedup": linededup.sql(),
     "op10_url_filter": urlfilter.sql(),
 }

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,40 @@ def test_pages_have_every_evidence(spark, tmp_path):
     got = {r["page_id"]: r for r in queries.op6_page_language(spark, str(tmp_path)).collect()}
     assert len(got) == len(data) and all(got[i]["language"] == x for i, _, x, _ in rows())
     assert got[1000]["language"] == "fr" and got[1001]["language"] == "de" and not got[1002]["accepted"]
+
+
+def plain_identify(data, model):
+    """{id: (language, posterior, accepted)} of rows (id, text, lang, source)."""
+    names, n = model.languages, len(model.languages)
+    lls, fits, sums = {}, {}, {}
+    soft = lambda x: np.exp(x - max(x)) / sum(np.exp(x - max(x)))
+    for i, text, _, host in data:
+        words = [w for w in langid._LETTERS.findall((text or "").lower()) for w in langid.grams(w)]
+        ll = sum((model.log.get(w, model.unseen) for w in words), np.zeros(n))
+        lls[i], fits[i] = np.maximum(langid.TEMPER * (ll - max(ll)), -langid.MOST), max(ll) / len(words) if words else None
+        if words:
+            sums[host] = sums.get(host, np.zeros(n)) + soft(lls[i])
+    parent = lambda h: ".".join(h.split(".")[-2:]) if h and h.count(".") > 1 else ""
+    total = sum(sums.values())
+    whole = (total + 1) / (sum(total) + n)
+    out = {}
+    for i, _, lang, host in data:
+        own, over = sums.get(host), sum((v for h, v in sums.items() if parent(h) == parent(host)), np.zeros(n))
+        middle = (over + langid.PRIOR * whole) / (sum(over) + langid.PRIOR) if parent(host) else whole
+        prior = np.full(n, 1 / n) if own is None else (own + langid.PRIOR * middle) / (sum(own) + langid.PRIOR)
+        vote = np.log([langid.TRUST if lang == x else (1 - langid.TRUST) / (n - 1) for x in names]) if lang in names else np.zeros(n)
+        post = soft(lls[i] + vote + np.log(prior))
+        out[i] = (names[int(np.argmax(post))], max(post), fits[i] is not None and max(post) >= langid.MIN_POSTERIOR and fits[i] >= model.usual - langid.MIN_FIT)
+    return out
+
+
+def test_against_plain_version_as_there_is_no_sql(spark, model):
+    rng = random.Random(8)
+    data = [(i, prose(rng, x, rng.choice([1, 2, 30])), rng.choice(["de", "en", None, "zz"]), rng.choice(["a.x.com", "b.x.com", "y.com", None])) for i, x in enumerate(sorted(SYLLABLES) * 30)]
+    data += [(900, None, "de", "a.x.com"), (901, "12", None, "new.com"), (902, "zqzxkj wvqxzk " * 30, "en", "y.com")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), model).collect()}
+    want = plain_identify(data, model)
+    assert set(got) == set(want)
+    for i, (language, posterior, accepted) in want.items():
+        assert (got[i]["language"], got[i]["accepted"]) == (language, accepted) and got[i]["posterior"] == pytest.approx(posterior)
+    assert all(isinstance(s, str) for s in queries.SQL.values()) and "op6_language_id" not in queries.SQL
