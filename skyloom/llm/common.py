@@ -16,14 +16,24 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 
 
+#: Arrow batches to and from Python workers hold about so many bytes (a longer row is a batch of its own).
+BATCH_BYTES = 6 << 20
+_WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder. From here on the session's Arrow batches are bounded by bytes, so that long texts fill no worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Unset, a temporary one in local mode; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,12 +43,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage is cut, and it outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, width: int = 64) -> bool:
-    """Whether df (already written) has at most `rows` rows: the size check before a broadcast of rows of about `width` bytes."""
-    return df.count() <= rows
+def remove_written(spark: SparkSession) -> None:
+    """Deletes every table that `written` has made in this process; results that were not collected or written are lost with them."""
+    for path in _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
+
+
+def others(columns: list[str], added: tuple[str, ...]) -> list[str]:
+    """The columns whose names, whatever their case, are none of those that an operator adds."""
+    taken = {c.lower() for c in added}
+    return [c for c in columns if c.lower() not in taken]
 
 
 class WordHash(dict):
@@ -99,20 +119,6 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema(fields)
 
 
-def parts(items: list, weight: Iterator[int], limit: int) -> Iterator[list]:
-    """items in runs whose weights sum to about `limit` at most."""
-    run: list = []
-    total = 0
-    for item, w in zip(items, weight, strict=True):
-        if run and total + w > limit:
-            yield run
-            run, total = [], 0
-        run.append(item)
-        total += w
-    if run:
-        yield run
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """One batch for each run of rows with equal values in the first `keys` columns (integers without nulls)."""
     held: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ from skyloom.llm.common import arrow_schema
 from skyloom.llm.tokens import encoder
 
 #: Rows are handed to the encoder in slices of about so many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -5,6 +5,8 @@ A byte-level BPE tokenizer whose pre-tokenizer is the common pattern
 something other than white space, nor a letter and an ASCII punctuation mark or digit right after it. So a text's ids are
 those of its pieces one after another, and each distinct piece need be encoded only once. Texts are cut there in Arrow, the
 distinct pieces of a batch go to the library in batches of about equal bytes, and a bounded cache keeps what came back.
+Pieces that begin with a space go joined to long texts, which spares the library's cost for each text; what came back is cut
+where the bytes of its ids reach the pieces' ends (each id of a byte-level vocabulary stands for a fixed number of bytes).
 Files whose rules are not known to be of that kind are encoded text by text, whole.
 """
 
@@ -13,13 +15,12 @@ from __future__ import annotations
 import itertools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from skyloom.llm.common import parts
-
 #: Put at the cuts; a text that holds it is cut in Python.
 _CUT = "\x1e"
 #: Unicode white space and what some libraries hold for it. Fixed values.
@@ -29,6 +30,18 @@ _AT_SPACE = re.compile(" (?=[^\\s᠎\x1c-\x1f])")
 #: After a Latin letter, before an ASCII mark or digit.
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[!-@\\[-`{-~]"
 _AT_MARK = re.compile(f"(?<={_LETTER})(?={_MARK})")
+#: Pieces that may follow any other piece.
+_JOINS = f"^ [^{_SPACE}]"
+#: Bytes of a text of joined pieces.
+_JOINED = 1 << 15
+
+
+def byte_runs(size: np.ndarray, limit: int) -> np.ndarray:
+    """Where runs of about `limit` bytes begin, and the end: a run ends with the item that reaches its limit."""
+    if not len(size):
+        return np.zeros(1, np.int64)
+    filled = (np.cumsum(size) - 1) // limit
+    return np.concatenate([[0], np.flatnonzero(np.diff(filled)) + 1, [len(size)]])
 
 
 class PieceEncoder:
@@ -37,7 +50,7 @@ class PieceEncoder:
     batch_bytes: the bytes of a call to the library. cache: the number of pieces kept (about 40 bytes each); all go when it is full.
     """
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 20, cache: int = 800_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 20, cache: int = 600_000):
         self.batch_bytes, self.limit = batch_bytes, cache
         self._forget()
         if path.endswith(".json"):
@@ -48,6 +61,7 @@ class PieceEncoder:
             self.tokenizer.no_padding()
             self.special, self.cut = self._rules(path)
             self.vocab = self.tokenizer.get_vocab_size()
+            self.bytes_of = self._bytes_of_ids()
         else:
             import sentencepiece
 
@@ -69,32 +83,63 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.pieces = pa.array([], pa.string())
-        self.lens, self.begins, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for run in parts(texts, (len(x) for x in texts), self.batch_bytes):
+        self.lens, self.begins, self.flat = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
+
+    def _bytes_of_ids(self) -> np.ndarray:
+        """How many bytes each id of a byte-level vocabulary stands for."""
+        added = {i: len(x.content.encode()) for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocab)]
+        return np.array([added.get(i, len(x)) for i, x in enumerate(names)], np.int64)
+
+    def _calls(self, texts: pa.Array) -> Iterator[list[list[int]]]:
+        """The ids of the texts, in calls of about batch_bytes."""
+        cuts = byte_runs(pc.binary_length(texts).to_numpy(), self.batch_bytes).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            run = texts.slice(a, b - a).to_pylist()
             if self.tokenizer is None:
-                out += self.model.encode(run, num_threads=1)
+                yield self.model.encode(run, num_threads=1)
             else:
-                out += [x.ids for x in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
-        return out
+                yield [x.ids for x in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+
+    def _library(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids one after another."""
+        lens, flat = [np.empty(0, np.int32)], [np.empty(0, np.uint32)]
+        for got in self._calls(texts):
+            lens.append(np.fromiter(map(len, got), np.int32, len(got)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lens[-1].sum())))
+        return np.concatenate(lens), np.concatenate(flat)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """_library of pieces that may follow one another, joined to long texts."""
+        size = pc.binary_length(pieces).to_numpy().astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(byte_runs(size, _JOINED), pa.int32()), pieces)
+        _, flat = self._library(pc.binary_join(lists, ""))
+        reached, ends = np.cumsum(self.bytes_of[flat]), np.cumsum(size)
+        last = np.searchsorted(reached, ends)
+        if len(reached) != (last[-1] + 1 if len(last) else 0) or not np.array_equal(reached[last], ends):
+            return self._library(pieces)
+        return np.diff(last, prepend=-1).astype(np.int32), flat
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where the kept arrays hold each of the distinct pieces; those that they lack are encoded first."""
         if len(self.pieces) + len(pieces) > self.limit:
             self._forget()
         at = pc.index_in(pieces, value_set=self.pieces)
-        if at.null_count:
-            new = pieces.filter(pc.is_null(at))
-            ids = self._library(new.to_pylist())
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            begins = len(self.flat) + np.cumsum(lens) - lens
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum()))])
-            self.lens, self.begins = np.concatenate([self.lens, lens]), np.concatenate([self.begins, begins])
+        place = pc.fill_null(at, -1).to_numpy()
+        lacking = np.flatnonzero(place < 0)
+        if len(lacking):
+            new = pieces.take(pa.array(lacking))
+            joins = pc.match_substring_regex(new, _JOINS).to_numpy(zero_copy_only=False)
+            order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+            new, n = new.take(pa.array(order)), int(joins.sum())
+            got = [self._joined(new.slice(0, n)), self._library(new.slice(n))]
+            lens = np.concatenate([x for x, _ in got])
+            self.begins = np.concatenate([self.begins, (len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens).astype(np.int32)])
+            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, *(x for _, x in got)])
+            place = place.copy()
+            place[lacking[order]] = len(self.pieces) + np.arange(len(lacking))
             self.pieces = pa.concat_arrays([self.pieces, new])
-            at = pc.index_in(pieces, value_set=self.pieces)
-        return at.to_numpy()
+        return place
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The pieces of safe texts, and where each text's begin."""
@@ -119,11 +164,16 @@ class PieceEncoder:
         coded = pieces.dictionary_encode()
         place = self._places(coded.dictionary)[coded.indices.to_numpy()]
         lens = self.lens[place]
-        counts = np.add.reduceat(lens, begins)
+        counts = np.add.reduceat(lens, begins, dtype=np.int64)
         if not ids:
             return counts, None
-        jump = self.begins[place] - (np.cumsum(lens) - lens)
-        return counts, self.flat[np.repeat(jump, lens) + np.arange(int(counts.sum()))]
+        ends = np.cumsum(lens, dtype=np.int32)
+        jump = self.begins[place]
+        jump -= ends
+        jump += lens
+        at = np.repeat(jump, lens)
+        at += np.arange(len(at), dtype=np.int32)
+        return counts, self.flat[at]
 
     def encode(self, texts: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """The number of ids of each text (null: none) and, if asked for, all ids one after another."""
@@ -132,8 +182,8 @@ class PieceEncoder:
         if not n:
             return np.zeros(0, np.int64), np.empty(0, np.uint32)
         if not self.cut:
-            got = self._library(texts.to_pylist())
-            return np.fromiter(map(len, got), np.int64, n), np.fromiter(itertools.chain.from_iterable(got), np.uint32) if ids else None
+            counts, flat = self._library(texts)
+            return counts.astype(np.int64), flat if ids else None
         odd = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._encode_pieces(*self._cut(texts), ids)
