@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,6 +15,65 @@ def test_held_out_pages():
     assert sum(a for a, _ in shares) / len(shares) > 0.98 and sum(b for _, b in shares) / len(shares) > 0.95
 
 
+def framed(part, inside=True):
+    body = "<h1>Title here</h1><p>" + "main text words " * 20 + f"</p>{part if inside else ''}<p>" + "more main words " * 15 + "</p>"
+    return f'<html><body><nav><a href="/">Home</a></nav><article>{body}</article>{"" if inside else part}<footer>foot</footer></body></html>'
+
+
+PARTS = {"short": "zz yy xx ww vv uu tt.", "paragraph": "<p>" + "zz yy xx ww " * 8 + "</p>", "long": "<p>" + "zz yy xx ww " * 12 + "</p><p>" + "vv tt " * 30 + "</p>"}
+
+
+@pytest.mark.parametrize("name", "ad ads advert advertisement ad-container sidebar left-sidebar cookie-notice cookies notice newsletter comments comment-list reader-comments user-comment related related-posts share-buttons menu site-footer site-header banner promo sponsored popup breadcrumbs pagination disclaimer modal".split())
+def test_named_boilerplate_goes(name):
+    for tag in ("div", "section", "aside"):
+        for part in PARTS.values():
+            for inside in (True, False):
+                text = main_text(framed(f'<{tag} class="{name}">{part}</{tag}>', inside))
+                assert "zz" not in text and "main" in text and "more" in text and "foot" not in text and "Home" not in text
+
+
+@pytest.mark.parametrize("name", "lead intro entry-content article-body chapter-2 keypoints abstract recipe-steps faq-answer pullquote box info-box note sharing-economy search-engines-history comment-on-the-law notice-of-meeting ad-hoc-networks cookies-recipe social-history menu-of-the-day related-work search-results-explained".split())
+def test_named_content_stays(name):
+    for tag in ("div", "section", "p"):
+        for part in list(PARTS.values())[: 1 if tag == "p" else 3]:
+            assert "zz" in main_text(framed(f'<{tag} class="{name}">{part}</{tag}>'))
+
+
+def test_names_do_not_override_prose():
+    assert main_text('<article><p class="search-results-explained">Real paragraph about search.</p><p>Other words here.</p></article>') == "Real paragraph about search.\nOther words here."
+    prose = "Earlier work has shown that this thing can be done in many ways, as we say here."
+    assert main_text(f'<article><h1>T</h1><p>Some words first.</p><div class="related-work"><p>{prose}</p></div><p>End words.</p></article>') == f"T\nSome words first.\n{prose}\nEnd words."
+    assert main_text('<article><p>One two three four five six.</p><div class="comment no-avatar"><p>Great post, thanks for that!</p></div></article>') == "One two three four five six."
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object>fall back</object> be.</p></article>") == "Let x=2 and fall back be."
+
+
+def other_pages(n, seed):
+    """Another generator: layouts written out by hand in the manner of common publishing software, filled with words."""
+    rng = random.Random(seed)
+    word = (f"v{i}" for i in range(10**9))
+    text = lambda k: " ".join(next(word) for _ in range(k))
+    items = lambda k: "".join(f"<li class='item-{i}'><a href='#{i}'>{text(2)}</a></li>" for i in range(k))
+    for i in range(n):
+        own = [text(6), *(text(rng.randint(5, 70)) for _ in range(rng.randint(2, 8)))]
+        paragraphs = [f"<p>{x}</p>" for x in own[1:]]
+        paragraphs.insert(rng.randrange(len(paragraphs) + 1), rng.choice([f"<div class='ad-slot' id='ad-{i}'>{text(12)}</div>", f"<aside class='pull-right widget'>{text(9)}</aside>", ""]))
+        body, title = "".join(paragraphs), f"<h1>{own[0]}</h1>"
+        comments = "".join(f"<li class='comment depth-1' id='comment-{k}'><article class='comment-body'><footer class='comment-meta'>{text(3)}</footer><div class='comment-content'><p>{text(rng.randint(4, 50))}</p></div></article></li>" for k in range(rng.randint(0, 6)))
+        side = f"<div class='widget-area' role='complementary'><section class='widget'><h2>{text(2)}</h2><ul>{items(5)}</ul></section><section class='widget'><p>{text(20)}</p></section></div>"
+        cookies = f"<div id='cookie-law' class='cookie-bar'><span>{text(14)}</span><a href='#'>{text(1)}</a></div>"
+        yield [
+            f"<html><body class='single single-post'><div id='page' class='hfeed site'><header id='masthead' class='site-header'><div class='site-branding'>{text(3)}</div><nav class='main-navigation'><ul>{items(6)}</ul></nav></header><div id='content' class='site-content'><div id='primary' class='content-area'><main class='site-main'><article class='post type-post hentry'><header class='entry-header'>{title}</header><div class='entry-content'>{body}</div><footer class='entry-footer'><span class='tags-links'>{text(3)}</span></footer></article><div id='comments' class='comments-area'><h2>{text(2)}</h2><ol class='comment-list'>{comments}</ol></div></main></div>{side}</div><footer class='site-footer'>{text(8)}</footer></div>{cookies}</body></html>",
+            f"<html><body><div class='topbar'><ul>{items(4)}</ul></div><div class='container'><div class='row'><div class='col-8 content'>{title}{body}<div class='share-links'><a href='#'>{text(1)}</a> <a href='#'>{text(1)}</a></div></div><div class='col-4 sidebar'><h3>{text(2)}</h3><ul>{items(6)}</ul></div></div></div><div class='footer'><p>{text(10)}</p></div></body></html>",
+            f"<html><body><table><tr><td><ul>{items(5)}</ul></td><td>{title}{body}</td></tr></table><p><a href='/'>{text(1)}</a> <a href='/x'>{text(2)}</a></p></body></html>",
+            f"<html><body><main>{title}{body}<section class='related-articles'><h2>{text(2)}</h2><ul>{items(4)}</ul></section></main><footer><nav>{items(5)}</nav><p>{text(6)}</p></footer>{cookies}</body></html>",
+        ][i % 4], {w for x in own for w in x.split()}
+
+
+def test_pages_of_another_generator():
+    shares = [(len(got & own) / len(own), len(got & own) / max(1, len(got))) for html, own in other_pages(120, 3) for got in [set(main_text(html).split())]]
+    assert sum(a for a, _ in shares) / len(shares) > 0.98 and sum(b for _, b in shares) / len(shares) > 0.95
+
+
 def test_blocks_and_references():
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="has-sidebar"><nav><ul><li><a href="/">Home</a></ul></nav>
     <header><p>Site head</p></header><div class="cookie-notice"><p>We use cookies here</p></div><div id="sideBar"><p>Side words</p></div>
