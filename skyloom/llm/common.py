@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +55,24 @@ def remove_written(spark: SparkSession) -> None:
     _WRITTEN.clear()
 
 
-def others(columns: list[str], added: tuple[str, ...]) -> list[str]:
-    """The columns whose names, whatever their case, are none of those that an operator adds."""
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """df with its columns named c0, c1, ... in order, and where a column of the old name is now (its exact name, or else in
+    any case): names of the input, even those alike but for their case, clash with none of an operator's own."""
+    names = df.columns
+
+    def place(name: str) -> str:
+        at = [i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{len(at)} columns are named {name!r}")
+        return f"c{at[0]}"
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), place
+
+
+def others(columns: list[str], added: tuple[str, ...]) -> dict[str, str]:
+    """Numbered name -> name of the columns that are not named, in any case, like one that an operator adds."""
     taken = {c.lower() for c in added}
-    return [c for c in columns if c.lower() not in taken]
+    return {f"c{i}": c for i, c in enumerate(columns) if c.lower() not in taken}
 
 
 class WordHash(dict):

@@ -13,10 +13,13 @@ or the first half if it has one sentence) and answer (the rest) must each be con
 share of their five-word shingles (shorter answers: of their words) found there.
 
 The index holds test items only, and is sent to tasks in shards of at most SHARD_BYTES of item text, one pass over the
-documents for each; the statistics (item counts, mean length) are those of all items, so shards do not change scores.
+documents for each, one after another, so that tasks hold one shard. The statistics (item counts, mean length, longest item,
+which sets the window) are those of all items, so shards do not change results. The driver holds one shard's texts and a count
+for each distinct word of the items.
 
 Cases: null or empty texts match nothing. Items without words are left out. Repeated documents or items match each on their
-own; null ids are returned as null. Empty tables: no match, every document clean. Extra columns are kept.
+own; null ids are returned as null. Empty tables: no match, every document clean. Extra columns are kept, but for one named
+item_ids (in any case).
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm.common import numbered, others, written
+
 WINDOW, BLOCK, THRESHOLD, SIMILARITY, SHARD_BYTES, COMMON = 128, 16, 0.6, 0.75, 16 << 20, 0.3
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
@@ -60,13 +66,13 @@ def contained(part: list[str], text: list[str], k: int = 5) -> float:
 
 
 class Index:
-    """A shard of the items' inverted index. n, mean: items of all shards and their mean length; df: word -> items of all shards."""
+    """A shard of the items' inverted index. n, mean, longest: items of all shards, their mean length and largest; df: word -> items of all shards."""
 
-    def __init__(self, items: list[tuple[int | None, str]], n: int, mean: float, df: dict[str, int]):
+    def __init__(self, items: list[tuple[int | None, str]], n: int, mean: float, df: dict[str, int], longest: int):
         self.ids = [i for i, _ in items]
         tokens = [words(t) for _, t in items]
         self.parts = [question_and_answer(t) for _, t in items]
-        self.longest = max(map(len, tokens), default=0)
+        self.longest = longest
         lists: dict[str, list[tuple[int, float]]] = {}
         own = np.zeros(len(items))
         for d, ws in enumerate(tokens):
@@ -181,10 +187,10 @@ class Index:
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
     """The index in shards of about shard_bytes of text. The driver holds one shard's texts at a time, and the words' counts."""
     plain = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
-    n, mean_of, df = 0, 0, {}
+    n, mean_of, longest, df = 0, 0, 0, {}
     for row in plain.toLocalIterator():
         ws = words(row["t"])
-        n, mean_of = n + bool(ws), mean_of + len(ws)
+        n, mean_of, longest = n + bool(ws), mean_of + len(ws), max(longest, len(ws))
         for w in set(ws):
             df[w] = df.get(w, 0) + 1
     held: list[tuple[int | None, str]] = []
@@ -194,24 +200,30 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", shar
             held.append((row["id"], row["t"]))
             size += len(row["t"])
             if size > shard_bytes:
-                yield Index(held, n, mean_of / n, df)
+                yield Index(held, n, mean_of / n, df, longest)
                 held, size = [], 0
     if held:
-        yield Index(held, n, mean_of / n, df)
+        yield Index(held, n, mean_of / n, df, longest)
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """docs with item_ids (array of long, ascending): the test items that are verified in each; empty where clean."""
-    columns = [c for c in docs.columns if c != "item_ids"]
-    out = docs.select(*[F.col(f"`{c}`") for c in columns], F.array().cast("array<long>").alias("item_ids"))
+    rows, place = numbered(docs)
+    columns = others(docs.columns, ("item_ids",))
+    out = rows.select(*columns, F.array().cast("array<long>").alias("found"))
+    shared = None
     for index in indexes(items):
-        out = _marked(out, index, text)
-    return out
+        if shared:
+            # One shard at a time: the results so far are written and the last one's index is given up.
+            out = written(out, "marked")
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        out = _marked(out, shared, place(text))
+    return out.toDF(*columns.values(), "item_ids")
 
 
-def _marked(docs: DataFrame, index: Index, text: str) -> DataFrame:
-    """docs with the index's matches added to item_ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _marked(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
+    """docs with the matches of a shard's index added to the last column."""
     at = docs.columns.index(text)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,5 +236,5 @@ def _marked(docs: DataFrame, index: Index, text: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without a verified test item."""
+    """The documents without a verified test item; a column named item_ids is not kept."""
     return contamination(docs, items, text).where(F.size("item_ids") == 0).drop("item_ids")

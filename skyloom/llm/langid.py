@@ -15,12 +15,14 @@ A document is rejected if its text says nothing (no letters), if the best langua
 its words are unlike any known language: a mean log likelihood for each trigram more than MIN_FIT below what the model's own
 training rows have.
 
-Fitting: the model is counted on a bounded sample, PER_LANGUAGE documents of each language with the smallest id hashes, of
-which the first SAMPLE_CHARS characters count. Everything else covers all documents and whole texts.
+Fitting: languages are the LANGUAGES labels with the most documents; the model is counted on a bounded sample, the PER_LANGUAGE
+texts of each language with the smallest hashes of id and text, read whole where they are: only trigram counts come to the
+driver. Everything else covers all documents.
 
 Cases: null or empty text has only the other evidence and is rejected; null language, url or host give no evidence of
 their kind (a null host is one host). Labels and declared codes count by their first subtag (pt-BR is pt). Unknown codes give none. Ties go to the first language by name. Repeated rows
-and ids give a row each. Without a labelled document every row is rejected with language null. Extra columns are kept.
+and ids give a row each. Without a labelled document every row is rejected with language null. Extra columns are kept, but for
+those named like a new one (in any case).
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import arrow_schema, written
+from skyloom.llm.common import arrow_schema, numbered, others, written
 from skyloom.llm.maintext import main_texts
 from skyloom.llm.urlfilter import host_and_path
 
-PER_LANGUAGE, SAMPLE_CHARS = 400, 2000
+LANGUAGES, PER_LANGUAGE, SHORTEST = 256, 400, 20
 TEMPER, MOST, TRUST, TRUST_SUFFIX, PRIOR, MIN_POSTERIOR, MIN_FIT = 0.1, 12.0, 0.9, 0.7, 20.0, 0.6, 4.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 HELD = 250_000
@@ -48,20 +50,15 @@ HELD = 250_000
 class Model:
     """Trigram counts by language; a word's trigrams are those of the word between two spaces, lower-cased."""
 
-    def __init__(self, texts: list[tuple[str, str]]):
-        self.languages = sorted({lang for lang, _ in texts})
-        counts: dict[str, np.ndarray] = {}
-        for lang, text in texts:
-            k = self.languages.index(lang)
-            for word, n in Counter(_LETTERS.findall(text.lower())).items():
-                for gram in grams(word):
-                    counts.setdefault(gram, np.zeros(len(self.languages)))[k] += n
-        totals = sum(counts.values()) if counts else np.zeros(len(self.languages))
+    def __init__(self, languages: list[str], counts: dict[str, np.ndarray]):
+        self.languages = languages
+        totals = sum(counts.values()) if counts else np.zeros(len(languages))
         size = len(counts) + 1
         self.unseen = np.log(1 / (totals + size))
         self.log = {g: np.log((c + 1) / (totals + size)) for g, c in counts.items()}
-        own = [(s[self.languages.index(lang)], n) for lang, text in texts for s, n in [self.score(text)] if n]
-        self.usual = sum(s for s, _ in own) / sum(n for _, n in own) if own else 0.0
+        own = sum(float(c @ self.log[g]) for g, c in counts.items())
+        #: The mean log likelihood of the sample's trigrams under their own language.
+        self.usual = own / float(totals.sum()) if counts else 0.0
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """Log likelihood of each language, and the number of trigrams."""
@@ -80,7 +77,7 @@ class _Held(dict):
     """Words that a worker has met: their place in rows (log likelihoods, number of trigrams). All go when rows are full."""
 
     def __init__(self, languages: int):
-        self.rows, self.n = np.empty((HELD, languages + 1)), 0
+        self.rows, self.n = np.empty((max(1000, 4 * HELD // (4 + languages)), languages + 1)), 0
 
     def forget(self, wanted: int) -> None:
         self.clear()
@@ -105,7 +102,7 @@ _HELD: dict[tuple, _Held] = {}
 
 def _held(model: Model) -> _Held:
     """What this worker holds for a model; one model at a time."""
-    key = (*model.languages, len(model.log), model.usual if hasattr(model, "usual") else None)
+    key = (*model.languages, len(model.log), model.usual)
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = _Held(len(model.languages))
@@ -123,51 +120,96 @@ def first_subtag(code: Column) -> Column:
     return F.when(found != "", found)
 
 
+COUNTS = "l string, gram string, n long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trigrams of each label's texts (l, t), counted batch by batch."""
+    for batch in batches:
+        found: dict[str, Counter] = {}
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = found.setdefault(label, Counter())
+            for word, n in Counter(_LETTERS.findall(text.as_py().lower())).items():
+                for gram in grams(word):
+                    own[gram] += n
+        rows = [(label, gram, n) for label, own in found.items() for gram, n in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], schema=arrow_schema(COUNTS))
+
+
 def train(docs: DataFrame, language: str = "lang", text: str = "text", order: str = "doc_id") -> Model:
-    """The model of the bounded sample of labelled rows."""
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    rows = docs.select(first_subtag(F.col(f"`{language}`")).alias("l"), F.xxhash64(F.col(f"`{order}`")).alias("h"), F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS).alias("t"))
-    sample = rows.where("l is not null and length(t) >= 20").withColumn("p", place).where(F.col("p") <= PER_LANGUAGE)
-    return Model([(r["l"], r["t"]) for r in sample.orderBy("l", "p").collect()])
-
-
-def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with text_ll (log likelihoods, tempered) and fit (mean of the best, for each trigram; null without letters)."""
-    columns = [c for c in docs.columns if c not in ("text_ll", "fit")]
-    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "text_ll array<double>, fit double"])
-    at = columns.index(text)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lls, fits = [], []
-            for x in batch.column(at):
-                ll, n = model.score(x.as_py() or "")
-                best = float(ll.max()) if n else 0.0
-                lls.append((np.maximum(TEMPER * (ll - best), -MOST) if n else np.zeros(len(model.languages))).tolist())
-                fits.append(best / n if n else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lls, pa.list_(pa.float64())), pa.array(fits, pa.float64())], names=[*columns, "text_ll", "fit"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(score, ddl)
-
-
-def _softmax(ll: Column) -> Column:
-    top = F.array_max(ll)
-    e = F.transform(ll, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
-
-
-def _added(*lls: Column) -> Column:
-    out = lls[0]
-    for x in lls[1:]:
-        out = F.zip_with(out, x, lambda a, b: a + b)
+    """The model of the bounded sample of labelled rows. Equal rows count once."""
+    label, whole = first_subtag(F.col(f"`{language}`").cast("string")), F.col(f"`{text}`").cast("string")
+    rows = docs.select(label.alias("l"), F.xxhash64(F.col(f"`{order}`"), whole).alias("h"), whole.alias("t")).where(F.col("l").isNotNull() & (F.length("t") >= SHORTEST))
+    names = sorted(r["l"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect())
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    kept = rows.where(F.col("l").isin(names)).select("l", "h").distinct().withColumn("p", place).where(F.col("p") <= PER_LANGUAGE)
+    # At most LANGUAGES * PER_LANGUAGE rows of two columns.
+    texts = rows.join(F.broadcast(kept.select("l", "h")), ["l", "h"]).dropDuplicates(["l", "h"]).select("l", "t")
+    counts: dict[str, np.ndarray] = {}
+    for r in texts.mapInArrow(_counted, COUNTS).groupBy("l", "gram").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["gram"], np.zeros(len(names)))[names.index(r["l"])] = r["n"]
+    return Model(names, counts)
+
+
+def softmax(ll: np.ndarray) -> np.ndarray:
+    """Of each row."""
+    e = np.exp(ll - ll.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+EVIDENCE = "struct<text_ll array<double>, own array<double>, fit double>"
+
+
+def evidence(model: Model):
+    """A function of texts: text_ll (log likelihoods, tempered), own (the posteriors by them alone) and fit (mean log likelihood of
+    the best language for each trigram; null without letters)."""
+
+    @F.arrow_udf(EVIDENCE)
+    def score(texts: pa.Array) -> pa.Array:
+        ll, fits = np.zeros((len(texts), len(model.languages))), np.full(len(texts), np.nan)
+        for i, x in enumerate(texts):
+            found, n = model.score(x.as_py() or "")
+            if n:
+                best = float(found.max())
+                ll[i], fits[i] = np.maximum(TEMPER * (found - best), -MOST), best / n
+        return pa.StructArray.from_arrays([_lists(ll), _lists(softmax(ll)), pa.array(fits, mask=np.isnan(fits))], names=["text_ll", "own", "fit"])
+
+    # Not to be computed again for each of its fields or for a filter on them.
+    return score.asNondeterministic()
+
+
+def votes(codes: pa.Array, languages: list[str], trust: float) -> np.ndarray:
+    """Log evidence of declared codes, 0 for all languages if a code is none of them."""
+    place = {x: i for i, x in enumerate(languages)}
+    at = np.array([place.get(c, -1) for c in codes.to_pylist()], np.int64)
+    out = np.zeros((len(at), len(languages)))
+    known = np.flatnonzero(at >= 0)
+    out[known] = math.log(max((1 - trust) / max(1, len(languages) - 1), 1e-9))
+    out[known, at[known]] = math.log(trust)
     return out
 
 
-def _votes(code: Column, languages: list[str], trust: float) -> Column:
-    """Log evidence of a declared code, 0 for all if it is none of the languages."""
-    rest = (1 - trust) / max(1, len(languages) - 1)
-    known = code.isin(languages)
-    return F.array(*[F.when(known & (code == x), math.log(trust)).when(known, math.log(max(rest, 1e-9))).otherwise(0.0) for x in languages])
+VERDICT = "struct<language string, posterior double, accepted boolean>"
+
+
+def fused(model: Model):
+    """A function of text_ll, prior, declared code, suffix code and fit: the language with the largest posterior, and whether it is accepted."""
+    names, usual = model.languages, model.usual
+
+    @F.arrow_udf(VERDICT)
+    def fuse(text_ll: pa.Array, prior: pa.Array, declared: pa.Array, suffix: pa.Array, fit: pa.Array) -> pa.Array:
+        of = lambda x: x.flatten().to_numpy(zero_copy_only=False).reshape(len(fit), len(names))
+        post = softmax(of(text_ll) + np.log(of(prior)) + votes(declared, names, TRUST) + votes(suffix, names, TRUST_SUFFIX)) if len(fit) else np.zeros((0, len(names)))
+        best, fits = post.argmax(axis=1), fit.to_numpy(zero_copy_only=False).astype(float)
+        top = post[np.arange(len(fit)), best]
+        accepted = (top >= MIN_POSTERIOR) & (np.nan_to_num(fits, nan=-np.inf) >= usual - MIN_FIT)
+        return pa.StructArray.from_arrays([pa.array(names).take(pa.array(best)), pa.array(top), pa.array(accepted)], names=["language", "posterior", "accepted"])
+
+    return fuse.asNondeterministic()
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -202,26 +244,19 @@ def host_priors(scored: DataFrame, host: Column, n: int) -> DataFrame:
 def identify(docs: DataFrame, model: Model, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (those of its columns named in `keep`) with language, posterior and accepted (boolean).
 
-    Texts are read once; the columns that are kept are written with the evidence, so a text that is not kept is not written.
+    Only texts go to Python, once; the columns that are kept are written with the evidence.
     """
     added = ("language", "posterior", "accepted")
-    columns = [c for c in docs.columns if c not in added and (keep is None or c in keep)]
+    rows, place = numbered(docs)
+    columns = {c: name for c, name in others(docs.columns, added).items() if keep is None or name in keep}
     if not model.languages:
-        return docs.select(*[F.col(f"`{c}`") for c in columns], F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
-    n = len(model.languages)
-    of_host = (F.col(f"`{host}`") if host else F.lit(None)).cast("string")
-    parts = {"__host": of_host, "__declared": (F.col(f"`{declared}`") if declared else F.lit(None)).cast("string"), "__url": (F.col(f"`{url}`") if url else F.lit(None)).cast("string"), "__text": F.col(f"`{text}`").cast("string")}
-    known = evidence(docs.select(*[F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(columns)], *[c.alias(name) for name, c in parts.items()]), model, "__text").drop("__text")
-    known = written(known, "evidence")
-    priors = host_priors(known.where("fit is not null").select("__host", _softmax(F.col("text_ll")).alias("own")), F.col("__host"), n)
-    joined = known.join(priors, known["__host"].eqNullSafe(priors["host"]), "left")
-    votes = _votes(first_subtag(F.col("__declared")), model.languages, TRUST)
-    suffix = _votes(suffix_language(F.coalesce("__url", F.concat(F.lit("http://"), "__host"))), model.languages, TRUST_SUFFIX)
-    flat = F.array(*[F.lit(1.0 / n)] * n)
-    ll = _added(F.col("text_ll"), votes, suffix, F.transform(F.coalesce("prior", flat), lambda x: F.log(x)))
-    post = joined.withColumn("__post", _softmax(ll))
-    best = F.array_position("__post", F.array_max("__post")).cast("int")
-    out = post.withColumn("__k", best)
-    names = F.array(*[F.lit(x) for x in model.languages])
-    accepted = F.col("fit").isNotNull() & (F.array_max("__post") >= MIN_POSTERIOR) & (F.col("fit") >= model.usual - MIN_FIT)
-    return out.select(*[F.col(f"d_{i}").alias(c) for i, c in enumerate(columns)], F.element_at(names, F.col("__k")).alias("language"), F.array_max("__post").alias("posterior"), F.coalesce(accepted, F.lit(False)).alias("accepted"))
+        return rows.select(*columns, F.lit(None).cast("string").alias("v0"), F.lit(0.0).alias("v1"), F.lit(False).alias("v2")).toDF(*columns.values(), *added)
+    named = lambda c: (F.col(place(c)) if c else F.lit(None)).cast("string")
+    at = suffix_language(F.coalesce(named(url), F.concat(F.lit("http://"), named(host))))
+    known = rows.select(*columns, named(host).alias("host"), first_subtag(named(declared)).alias("declared"), at.alias("suffix"), evidence(model)(named(text)).alias("e"))
+    known = written(known.select(*columns, "host", "declared", "suffix", "e.*"), "evidence")
+    priors = host_priors(known.where("fit is not null").select("host", "own"), F.col("host"), len(model.languages)).withColumnRenamed("host", "of_host")
+    flat = F.array(*[F.lit(1.0 / len(model.languages))] * len(model.languages))
+    joined = known.join(priors, known["host"].eqNullSafe(priors["of_host"]), "left")
+    out = joined.withColumn("v", fused(model)("text_ll", F.coalesce("prior", flat), "declared", "suffix", "fit"))
+    return out.select(*columns, "v.language", "v.posterior", "v.accepted").toDF(*columns.values(), *added)

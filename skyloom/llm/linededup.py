@@ -9,9 +9,10 @@ measured size is under BROADCAST_BYTES, otherwise Spark joins by shuffle and spl
 Counts are combined before the shuffle and keyed by (host, line), so a host in a third of all pages is spread by its lines,
 and a line in a third of all pages is summed in parts.
 
-Cases: a null host is a host of its own. Null text has no lines and stays null. A line needs MIN_PAGES pages to be
-boilerplate, so hosts with few pages lose nothing. Repeated rows count as pages of their own. A page may end up empty. An
-empty table gives an empty result. All columns of the pages are kept, in order, whatever their names.
+Cases: a null host is a host of its own. Null text has no lines and stays null. A line on one page of a host (MIN_PAGES is 2)
+repeats nothing and stays, whatever its share of the host's pages. Repeated rows count as pages of their own. A page may end up
+empty. An empty table gives an empty result. All columns of the pages are kept, in order, whatever their names, but for one
+named n_dropped (in any case).
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import written
+from skyloom.llm.common import numbered, others, written
 
-MAX_RATIO, MIN_PAGES, BROADCAST_BYTES = 0.05, 5, 8 << 20
+MAX_RATIO, MIN_PAGES, BROADCAST_BYTES = 0.05, 2, 8 << 20
 _BLANKS = " \t\r\x0b\x0c"
 
 
@@ -45,17 +46,20 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
 
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with `text` freed of boilerplate lines, and n_dropped: how many lines went."""
-    known = written(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    size = known.agg(F.sum(F.size("__lines"))).first()[0] or 0
+    rows, place = numbered(pages)
+    known = written(boilerplate(rows, place(host), place(text), max_ratio, min_pages), "boilerplate").select("host", "lines")
+    size = known.agg(F.sum(F.size("lines"))).first()[0] or 0
     if size * 16 <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    joined = pages.join(known, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left")
-    old = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.filter(old, lambda x: ~F.array_contains(F.col("__lines"), _line_id(_bare(x))))
-    some = F.col("__lines").isNotNull() & F.col(f"`{text}`").isNotNull()
-    new = F.when(some, F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
+    whole = F.col(place(text))
+    joined = rows.join(known, F.col(place(host)).eqNullSafe(F.col("host")), "left")
+    old = F.split(whole, "\n")
+    kept = F.filter(old, lambda x: ~F.array_contains(F.col("lines"), _line_id(_bare(x))))
+    some = F.col("lines").isNotNull() & whole.isNotNull()
+    new = F.when(some, F.array_join(kept, "\n")).otherwise(whole)
     dropped = F.when(some, F.size(old) - F.size(kept)).otherwise(0).cast("int")
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns if c != "n_dropped"], dropped.alias("n_dropped"))
+    columns = others(pages.columns, ("n_dropped",))
+    return joined.select(*[new.alias(c) if c == place(text) else c for c in columns], dropped.alias("n")).toDF(*columns.values(), "n_dropped")
 
 
 def sql(max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:

@@ -38,6 +38,10 @@ def test_evidence_is_fused(spark, model):
     assert [got[i]["language"] for i in (1, 2, 3, 6)] == ["de", "fr", "de", "en"]
     assert not got[4]["accepted"] and not got[5]["accepted"] and not got[7]["accepted"] and got[6]["accepted"]
     assert langid.identify(docs, model).columns == [*docs.columns, "language", "posterior", "accepted"]
+    odd = docs.selectExpr("*", "'x' Language", "1 E", "2 v", "3 Text_", "4 c2")
+    assert langid.identify(odd, model).columns == [*docs.columns, "E", "v", "Text_", "c2", "language", "posterior", "accepted"]
+    long = spark.createDataFrame([(1, "the ing tion " * 100_000, None, None), (1, "the ing tion " * 100_000, None, None), (2, "", "de", None)], "doc_id long, text string, lang string, source string")
+    assert sorted((r["doc_id"], r["language"], r["accepted"]) for r in langid.identify(long, model).collect()) == [(1, "en", True)] * 2 + [(2, "de", False)]
 
 
 def test_host_priors_are_smoothed(spark):
@@ -78,6 +82,26 @@ def test_pages_have_every_evidence(spark, tmp_path):
     assert got[1000]["language"] == "fr" and got[1001]["language"] == "de" and not got[1002]["accepted"]
 
 
+def test_fitting_counts_whole_texts_of_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    data = [(i, "abc " * 2000 + f"word {i} zq", "aa") for i in range(9)] + [(20, "other text that is long enough", "bb")] * 3 + [(30, "rare label of this document", "cc"), (31, "x", "dd"), (32, None, "aa"), (33, "no label at all, but a text", " ")]
+    model = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb"]
+    counts = {g: np.exp(x) for g, x in model.log.items()}
+    size = len(counts) + 1
+    # Five of the nine texts of aa, each with 2000 times " ab"; the three equal rows of bb once.
+    total = 5 * (2000 * 3 + 4 + 2)
+    assert counts[" ab"][0] == pytest.approx((5 * 2000 + 1) / (total + size)) and counts["zq "][0] == pytest.approx(6 / (total + size))
+    assert counts["tha"][1] == pytest.approx(2 / (len("".join("other text that is long enough".split())) + size))
+
+
+def test_equal_evidence_goes_to_the_first_language(spark, model):
+    docs = spark.createDataFrame([(i, "xq", None, f"h{i}.net") for i in range(3)], "doc_id long, text string, lang string, source string")
+    got = langid.identify(docs, langid.Model(["aa", "bb"], {"xq ": np.ones(2)})).collect()
+    assert [r["language"] for r in got] == ["aa"] * 3 and [r["posterior"] for r in got] == pytest.approx([0.5] * 3)
+
+
 def plain_identify(data, model):
     """{id: (language, posterior, accepted)} of rows (id, text, lang, source)."""
     names, n = model.languages, len(model.languages)
