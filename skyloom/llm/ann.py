@@ -3,14 +3,16 @@
 Equal vectors form a class that is hashed once; a class keeps its K+1 smallest ids, which is all that any answer can use.
 Every class is a row in each of TABLES tables, under the key of its slots. A query visits, in each table, its own bucket and
 then buckets one or more slots away in the order of their estimated success (lsh.py). Buckets are dealt into blocks of at most
-BLOCK classes and queries visit all blocks of a bucket, so no task gathers a bucket; a block compares its queries with its
-classes in double precision on the original vectors and hands on the K+1 best of each. The merged candidates of all tables
+BLOCK classes and queries visit all blocks of a bucket, ASKED of them at most to a copy of the block, so no task gathers a bucket or
+its queries; a block compares its queries with its classes in double precision on the original vectors and hands on the K+1
+best of each. The merged candidates of all tables
 are ranked once more. No pair but those few becomes a row.
 
 Fitting: width and number of probes come from a bounded sample (SAMPLE classes, those with the smallest hashes). The width is
 WIDTH times the median distance to the K-th neighbour within the sample; probes are added in order until RECALL of the
-sample's own neighbours are met (at most PROBES). Neighbours in all data are nearer than in the sample, so recall there is
-higher. Every class is indexed; nothing else depends on the sample.
+sample's own neighbours are met. Where PROBES probes do not meet it, slots are widened by half until they do (slots as wide as
+the data hold everything in one bucket, which is an exact search), so that no data is left with less. Neighbours in all data are
+nearer than in the sample, so recall there is higher. Every class is indexed; nothing else depends on the sample.
 
 Cases: vectors that are null, empty, zero or hold null, NaN or infinite components take no part, nor do null ids. Vectors
 are compared with those of the same number of components only (one index for each such number). Rows with the query's
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import arrow_schema, runs, written
 from skyloom.llm.lsh import Hashes, probe_keys, probe_sets
 
-K, TABLES, FUNCTIONS, WIDTH, PROBES, RECALL, SAMPLE, BLOCK = 10, 4, 4, 1.3, 81, 0.94, 4096, 4096
+K, TABLES, FUNCTIONS, WIDTH, PROBES, RECALL, SAMPLE, BLOCK, ASKED = 10, 4, 4, 1.3, 81, 0.94, 4096, 4096, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -58,15 +60,18 @@ def fit(sample: np.ndarray, k: int = K, queries: int = 200) -> tuple[Hashes, lis
         return Hashes(sample.shape[1], TABLES, FUNCTIONS, 1.0), sets
     order = np.argsort(found, axis=1, kind="stable")
     width = WIDTH * float(np.median(np.take_along_axis(found, order[:, k : k + 1], 1))) or 1.0
-    hashes = Hashes(sample.shape[1], TABLES, FUNCTIONS, width)
-    keys, probes = hashes.keys(hashes.slots(sample)[0]), probe_keys(hashes, sample[:n], sets)
-    met = np.full((n, k), len(sets))
-    for i in range(n):
-        for t in range(TABLES):
-            hit = keys[order[i, 1 : k + 1], t][:, None] == probes[i, t]
-            met[i] = np.minimum(met[i], np.where(hit.any(axis=1), hit.argmax(axis=1), len(sets)))
-    share = np.array([(met <= p).mean() for p in range(len(sets))])
-    return hashes, sets[: int(np.argmax(share >= RECALL)) + 1] if share[-1] >= RECALL else sets
+    while True:
+        hashes = Hashes(sample.shape[1], TABLES, FUNCTIONS, width)
+        keys, probes = hashes.keys(hashes.slots(sample)[0]), probe_keys(hashes, sample[:n], sets)
+        met = np.full((n, k), len(sets))
+        for i in range(n):
+            for t in range(TABLES):
+                hit = keys[order[i, 1 : k + 1], t][:, None] == probes[i, t]
+                met[i] = np.minimum(met[i], np.where(hit.any(axis=1), hit.argmax(axis=1), len(sets)))
+        share = np.array([(met <= p).mean() for p in range(len(sets))])
+        if share[-1] >= RECALL:
+            return hashes, sets[: int(np.argmax(share >= RECALL)) + 1]
+        width *= 1.5
 
 
 def best(x: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +113,15 @@ def _search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 tables = np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), len(sets)), batch.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(tables), pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n)))], schema=arrow_schema("t int, key long, id long"))
 
-    entries, visits = written(classes.mapInArrow(index, "t int, key long, id long"), "entries"), queries.mapInArrow(probe, "t int, key long, id long")
-    blocks = written(entries.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "buckets")
-    members = entries.join(blocks, ["t", "key"]).select("t", "key", F.expr("cast(pmod(xxhash64(id), n) as int)").alias("block"), F.lit(False).alias("asks"), "id")
-    asked = visits.join(blocks, ["t", "key"]).select("t", "key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.lit(True).alias("asks"), "id")
-    rows = members.join(classes, "id").unionByName(asked.join(queries, "id")).select("t", "key", "block", "asks", "id", "vector")
+    kind = "t int, key long, id long"
+    entries, visits = written(classes.mapInArrow(index, kind), "entries"), written(queries.mapInArrow(probe, kind), "visits")
+    sized = lambda df, size, name: df.groupBy("t", "key").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = written(sized(entries, BLOCK, "n").join(sized(visits, ASKED, "copies"), ["t", "key"]), "buckets")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
+    members = entries.join(blocks, ["t", "key"]).select("t", "key", dealt("n").alias("block"), every("copies").alias("copy"), F.lit(False).alias("asks"), "id")
+    asked = visits.join(blocks, ["t", "key"]).select("t", "key", every("n").alias("block"), dealt("copies").alias("copy"), F.lit(True).alias("asks"), "id")
+    rows = members.join(classes, "id").unionByName(asked.join(queries, "id")).select("t", "key", F.expr("block * 65536L + copy").alias("block"), "asks", "id", "vector")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, 3):

@@ -10,14 +10,16 @@ Realisation: budgets are the weights times `budget` tokens; without a budget the
 so that every document stays and the others are repeated. A source is read in blocks; block e is all its documents in a
 permutation of its own (by a hash of id and e). The last block is cut: a document is in if its middle token lies inside the
 budget. Positions within a block are sums over hash ranges, whose number grows with the source, and then within each range, so
-no source is gathered in one task. mix_at, the share of the source's budget before a row, orders the whole mix:
-every stretch of it holds sources by their weights.
+no source is gathered in one task. A range that holds more than HOT rows all the same (rows that share an id, or have none, share
+a hash) is split once more, by where its rows were read. mix_at, the share of the source's budget before a row, orders the
+whole mix: every stretch of it holds sources by their weights.
 
-Only DataFrame functions are used. Documents of no tokens weigh one token, so that they have a place.
+Only DataFrame functions are used. Documents of no tokens weigh one token, so that they have a place. Ids, sources and token
+counts are written once, and weights and ranges are made from them; texts are read twice.
 
 Cases: a null source is a source of its own. Null text is of no tokens. Rows with null or equal ids are documents of their own;
 their order is by hash, id and length. One source, or an empty table: weight 1, or no rows. Columns of the input are kept in order;
-those named like a new column are replaced.
+those named like a new column (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import written
+from skyloom.llm.common import numbered, others, written
 
-REPEATS, FAN, FINE, RANGE_ROWS = 2.0, 64, 3, 4096
+REPEATS, FAN, FINE, RANGE_ROWS, HOT = 2.0, 64, 3, 4096, 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -59,10 +61,9 @@ def exponent(shares: DataFrame, entropy: float | None = None, repeats: float = R
     return high if entropy is None else low
 
 
-def weights(docs: DataFrame, source: str, tokens: Column, entropy: float | None = None, repeats: float = REPEATS, budget: float | None = None) -> DataFrame:
-    """source, tokens, docs, weight, budget (tokens to draw) of each source."""
-    held = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("docs"))
-    held = written(held, "sources")
+def weights(counted: DataFrame, entropy: float | None = None, repeats: float = REPEATS, budget: float | None = None) -> DataFrame:
+    """source, tokens, docs, weight, budget (tokens to draw) of each source. counted: source, n (tokens) of each document."""
+    held = written(counted.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "sources")
     total = held.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     if not total:
         return held.select("source", "tokens", "docs", F.lit(1.0).alias("weight"), F.lit(0.0).alias("budget"))
@@ -74,28 +75,53 @@ def weights(docs: DataFrame, source: str, tokens: Column, entropy: float | None
     return written(raised.select("source", "tokens", "docs", (F.col("w") / F.lit(z["z"])).alias("weight"), drawn.alias("budget")), "weights")
 
 
+KEY = ["of", "block", "range"]
+
+
+def _taken(rows: DataFrame, w: DataFrame, seed: int) -> DataFrame:
+    """rows (id, source, n and others) once for each block that they are drawn in, with their source's weights, hash and range."""
+    joined = rows.join(w, rows["source"].eqNullSafe(w["of"]))
+    # A budget within a millionth of a token of whole blocks is whole blocks.
+    blocks = F.greatest(F.ceil(F.col("budget") / F.col("tokens") - 1e-9), F.lit(0))
+    taken = joined.where("budget > 0").withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    taken = taken.withColumn("hash", permuted(F.col("id"), F.col("block"), seed))
+    return taken.withColumn("range", F.floor(F.col("hash") / F.lit(float(1 << 48)) * F.col("ranges")))
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of right, joined by keys that may be null."""
+    other = right.select(*[F.col(c).alias("on_" + c) for c in keys], *[c for c in right.columns if c not in keys])
+    on = [left[c].eqNullSafe(other["on_" + c]) for c in keys]
+    return left.join(other, on, how).drop(*["on_" + c for c in keys])
+
+
 def mixed(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", entropy: float | None = None, repeats: float = REPEATS, budget: float | None = None, seed: int = 0) -> DataFrame:
     """docs drawn by weight, a row for each time that a document is taken: its columns, then weight, block (0, 1, ...) and mix_at."""
     added = ("weight", "block", "mix_at")
-    counted = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], word_count(F.col(f"`{text}`")).alias("__n"))
-    w = weights(docs, source, word_count(F.col(f"`{text}`")), entropy, repeats, budget)
-    w = w.select(F.col("source").alias("__source"), F.col("tokens").alias("__tokens"), "weight", F.col("budget").alias("__budget"), F.greatest(F.ceil(F.col("docs") / RANGE_ROWS), F.lit(1)).alias("__ranges"))
-    joined = counted.join(w, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
-    # A budget within a millionth of a token of whole blocks is whole blocks.
-    blocks = F.greatest(F.ceil(F.col("__budget") / F.col("__tokens") - 1e-9), F.lit(0))
-    taken = joined.where("__budget > 0").withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    taken = taken.withColumn("__hash", permuted(F.col(f"`{id_column}`"), F.col("block"), seed))
-    taken = taken.withColumn("__range", F.floor(F.col("__hash") / F.lit(float(1 << 48)) * F.col("__ranges")))
-    key = ["__source", "block", "__range"]
-    sums = taken.groupBy(*key).agg(F.sum("__n").alias("__in"))
-    before = Window.partitionBy("__source", "block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sums.select(*key, F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__before")), "ranges")
-    s = starts.select(*[F.col(c).alias("s" + c) for c in key], "__before")
-    on = taken["__source"].eqNullSafe(s["s__source"]) & (taken["block"] == s["sblock"]) & (taken["__range"] == s["s__range"])
-    within = Window.partitionBy(*key).orderBy("__hash", F.col(f"`{id_column}`"), "__n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = taken.join(s, on).withColumn("__at", F.col("block") * F.col("__tokens") + F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    cut = placed.where(F.col("__at") + F.col("__n") / 2 <= F.col("__budget") + 1e-6 * F.col("__tokens"))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], "weight", F.col("block").cast("int").alias("block"), (F.col("__at") / F.col("__budget")).alias("mix_at"))
+    whole, place = numbered(docs)
+    columns = others(docs.columns, added)
+    facts = [F.col(place(id_column)).alias("id"), F.col(place(source)).alias("source"), word_count(F.col(place(text))).alias("n")]
+    narrow = written(whole.select(*facts), "counted")
+    w = weights(narrow, entropy, repeats, budget).withColumnRenamed("source", "of").withColumn("ranges", F.greatest(F.ceil(F.col("docs") / RANGE_ROWS), F.lit(1)))
+    sums = written(_taken(narrow, w, seed).groupBy(*KEY).agg(F.sum("n").alias("in"), F.count("*").alias("rows")), "ranges")
+    taken = _taken(whole.select(*columns, *facts, F.monotonically_increasing_id().alias("read")), w, seed)
+    keys = [*KEY, "part"]
+    hot = sums.where(F.col("rows") > HOT)
+    if hot.isEmpty():
+        taken, sums = taken.withColumn("part", F.lit(0)), sums.withColumn("part", F.lit(0))
+    else:
+        # Ranges of over HOT rows: fewer than there are rows to HOT, so they may be broadcast.
+        parts = F.broadcast(hot.select(*KEY, F.ceil(F.col("rows") / RANGE_ROWS).alias("parts")))
+        split = lambda df: _on(df, parts, KEY, "left").withColumn("part", F.coalesce(F.expr("pmod(read, parts)"), F.lit(0)).cast("int"))
+        taken = split(taken)
+        again = split(_taken(whole.select(*facts, F.monotonically_increasing_id().alias("read")), w, seed)).where("parts is not null")
+        sums = sums.where(F.col("rows") <= HOT).select(*KEY, F.lit(0).alias("part"), "in").unionByName(again.groupBy(*keys).agg(F.sum("n").alias("in")))
+    before = Window.partitionBy("of", "block").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(sums.select(*keys, F.coalesce(F.sum("in").over(before), F.lit(0)).alias("before")), "starts")
+    within = Window.partitionBy(*keys).orderBy("hash", "id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _on(taken, starts, keys).withColumn("at", F.col("block") * F.col("tokens") + F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    cut = placed.where(F.col("at") + F.col("n") / 2 <= F.col("budget") + 1e-6 * F.col("tokens"))
+    return cut.select(*columns, "weight", F.col("block").cast("int").alias("block"), (F.col("at") / F.col("budget")).alias("mix_at")).toDF(*columns.values(), *added)
 
 
 def permuted(id_column: Column, block: Column, seed: int) -> Column:

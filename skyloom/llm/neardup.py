@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 JUDGED = 0.60
 #: Shingles to a block of a group that is not yet connected.
 BLOCK_SHINGLES = 400_000
+#: Members to a block of pairs with one pivot.
+MEMBERS = 256
 #: Ids of classes with company and of their documents (16 bytes each) are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240101))
@@ -163,24 +165,27 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links a, b among the pairs (id, pivot), decided on the full sets. Pairs of a pivot come together, so its set is kept."""
-    both = pairs.join(texts.toDF("id", "text_a"), "id").join(texts.toDF("pivot", "text_b"), "pivot").select("id", "pivot", "text_a", "text_b")
+    """Links a, b among the pairs (id, pivot), decided on the full sets. A pivot's members are dealt into blocks of about
+    MEMBERS; its text goes once to each block, before them, and a task holds one pivot's set at a time."""
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("n"))
+    members = pairs.join(blocks, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(id), n) as int)").alias("block"), F.lit(1).alias("member"), "id")
+    heads = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.lit(0).alias("member"), F.col("pivot").alias("id"))
+    rows = members.unionByName(heads).join(texts, "id").select("pivot", "block", "member", "id", "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = None, np.empty(0, np.uint64)
+        of = np.empty(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            for i, p, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if held != p:
-                    held, of = p, shingle_set(y.as_py())
+            for p, member, i, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 own = shingle_set(x.as_py())
-                common = len(np.intersect1d(own, of, assume_unique=True))
-                if linked(common, len(own), len(of)):
+                if not member:
+                    of = own
+                elif linked(len(np.intersect1d(own, of, assume_unique=True)), len(own), len(of)):
                     a.append(i)
                     b.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow_schema("a long, b long"))
 
-    return both.mapInArrow(confirm, "a long, b long")
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "member").mapInArrow(confirm, "a long, b long")
 
 
 def _block_links(ids: np.ndarray, of: np.ndarray, seeks: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:

@@ -37,6 +37,24 @@ def test_recall_and_scores(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 100] == list(range(3000, 3010))
 
 
+def test_recall_where_the_sample_is_a_part(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ASKED", 7)
+    monkeypatch.setattr(ann, "BLOCK", 500)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((20, 32))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 20] + 0.5 * rng.standard_normal(32)]) for i in range(3 * ann.SAMPLE)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    assert recall(got, exact(rows)) >= 0.93
+
+
+def test_slots_widen_until_the_sample_is_found(monkeypatch):
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "WIDTH", 0.05)
+    sample = np.random.default_rng(1).standard_normal((400, 12))
+    hashes, sets = ann.fit(sample)
+    assert len(sets) == 1 and hashes.width > 1
+
+
 def test_odd_rows(spark):
     rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, -0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (200, [1.0, 2.0, 4.0]), (9, []), (10, [2.0, 0.0]), (11, [0.0, 0.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 id", "2 key")

@@ -53,3 +53,23 @@ def test_budget_cuts(spark):
     assert len(got) in (62, 63) and len({r["doc_id"] for r in got}) == len(got)
     assert mixing.mixed(docs_of(spark, rows).where("false")).count() == 0
     assert mixing.mixed(docs_of(spark, rows)).columns == ["doc_id", "source", "text", "tokens", "weight", "block", "mix_at"]
+
+
+def test_many_rows_of_one_id_odd_names_and_long_texts(spark, monkeypatch):
+    rows = [(None, "a", "x y z")] * 400 + [(7, "a", "p q")] * 300 + [(i, "a", f"w{i} " * (i % 5)) for i in range(1000, 1200)] + [(1, "b", "long " * 200_000), (2, "b", ""), (3, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 `__n`", "2 Block", "3 n", "4 hash", "5 part")
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    plain = mixing.mixed(docs).collect()
+    monkeypatch.setattr(mixing, "HOT", 50)
+    got = mixing.mixed(docs)
+    assert got.columns == ["doc_id", "source", "text", "__n", "n", "hash", "part", "weight", "block", "mix_at"]
+    got = got.collect()
+    times = lambda rows: Counter((r["doc_id"], r["source"], r["block"]) for r in rows)
+    assert times(got) == times(plain)
+    for s in "ab":
+        own = sorted((r["mix_at"], max(1, len((r["text"] or "").split()))) for r in got if r["source"] == s)
+        tokens = sum(n for _, n in own) / own[-1][0] if own[-1][0] else 0
+        total = sum(max(1, len((t or "").split())) for _, x, t in rows if x == s)
+        budget = own[1][1] and next(n / (b - a) for (a, n), (b, _) in zip(own, own[1:], strict=False))
+        # Rows follow one another without gap or overlap: each stands where the tokens before it end.
+        assert all(a + n / budget == pytest.approx(b, abs=1e-9) for (a, n), (b, _) in zip(own, own[1:], strict=False)) and budget >= total - 1e-6 and tokens
