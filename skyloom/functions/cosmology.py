@@ -23,17 +23,19 @@ PHOTONS, NEUTRINO_T, FIT_P, FIT_K, KB_EV = 4.48149e-7, 0.7137658555036082, 1.83,
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(16)
 
 
-def neutrino_masses(n_eff: float, n_ur: float, masses: list[float], degeneracies: list[float]) -> list[float]:
-    """One mass for each species, massless ones included; degeneracies are whole, and species add up to floor(n_eff)."""
+def neutrino_masses(n_eff: float = 3.04, n_ur: float | None = None, masses: float | list[float] = 0.0, degeneracies: float | list[float] = 0.0) -> list[float]:
+    """One mass (eV) for each species: each massive one as often as its degeneracy, then floor(n_ur) massless ones (n_eff, if None).
+    ValueError if a degeneracy is not whole, or if species do not add up to floor(n_eff)."""
+    many = lambda x: list(x) if isinstance(x, (list, tuple)) else [x]
+    masses, degeneracies = many(masses), many(degeneracies)
     if len(masses) != len(degeneracies):
         raise ValueError("a degeneracy is needed for each mass")
-    if any(abs(d - round(d)) > 1e-6 for d in degeneracies):
-        raise ValueError("degeneracies must be whole numbers")
-    out = [m for m, d in zip(masses, degeneracies, strict=True) for _ in range(round(d))]
-    species = math.floor(n_eff)
-    if len(out) > species:
-        raise ValueError(f"{len(out)} massive species, but only {species} in all")
-    return out + [0.0] * (species - len(out))
+    if any(d != round(d) for d in degeneracies):
+        raise ValueError(f"degeneracies must be whole numbers, not {degeneracies}")
+    massless, massive = int(n_eff if n_ur is None else n_ur), int(sum(degeneracies))
+    if massive + massless != int(n_eff):
+        raise ValueError(f"{massive} massive and {massless} massless species do not add up to N_eff = {n_eff}")
+    return [float(m) for m, d in zip(masses, degeneracies, strict=True) for _ in range(int(d))] + [0.0] * massless
 
 
 @dataclass(frozen=True)

@@ -1,10 +1,13 @@
-"""The geometry kernel as Column expressions: all of it stays inside whole-stage code generation."""
+"""The geometry kernel as Column expressions of built-in functions.
+
+Expressions that use one another's values many times over are made in steps (`staged`), so that generated code stays short.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = tuple[Column, Column, Column]
@@ -39,15 +42,44 @@ def turned(v: Vector, m: list[Column], transpose: bool = False) -> Vector:
     return tuple(at(i, 0) * v[0] + at(i, 1) * v[1] + at(i, 2) * v[2] for i in range(3))  # type: ignore[return-value]
 
 
+STEP = "__step"
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns made in a step of their own: where(done()) after it is not pushed below, so what it and later steps use is
+    not written out again in their place. (A filter does not pass a projection that holds a nondeterministic field.)"""
+    return df.select(*[c for c in df.columns if c != STEP], *[c.alias(n) for n, c in columns.items()], F.spark_partition_id().alias(STEP))
+
+
+def done(condition: Column | None = None) -> Column:
+    """What a filter after `staged` holds, with the condition that it is there for."""
+    step = F.col(STEP) >= 0
+    return step if condition is None else condition & step
+
+
+def step(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns, made once and in a step of their own."""
+    return staged(df, **columns).where(done()).drop(STEP)
+
+
 def wrapped(v: Column, box: float) -> Column:
     """Back into the box; a value of exactly the box side stays."""
     return F.when((v < 0) | (v > box), floor_mod(v, box)).otherwise(v)
 
 
 def reoriented(v: Vector, m: list[Column], shift: Vector, box: float) -> Vector:
-    """Shift (a distance), wrap, reflect and turn about the box centre. m holds turn and reflection."""
+    """Shift (a distance), wrap, reflect and turn about the box centre. m holds turn and reflection.
+
+    m is a signed permutation, so a turned component is one centred component or its negative, half a box from the centre at
+    most: it needs no second wrapping (see rotated_periodic for other turns).
+    """
     centred = tuple(floor_mod(c + s, box) - box / 2 for c, s in zip(v, shift, strict=True))
-    return tuple(wrapped(c + box / 2, box) for c in turned(centred, m))  # type: ignore[arg-type, return-value]
+    return tuple(c + box / 2 for c in turned(centred, m))  # type: ignore[arg-type, return-value]
+
+
+def rotated_periodic(v: Vector, m: list[Column], shift: Vector, box: float) -> Vector:
+    """reoriented for any turn m: what a corner leaves the box by comes in on the other side."""
+    return tuple(wrapped(c, box) for c in reoriented(v, m, shift, box))  # type: ignore[return-value]
 
 
 def restored(v: Vector, m: list[Column], shift: Vector, box: float) -> Vector:
@@ -93,6 +125,11 @@ def in_sphere_shell(r: Column, r_min, r_max, buffer: float = 0.0) -> Column:
 def in_cone_shell(v: Vector, axis: tuple[float, float, float], half_angle: float, r_min, r_max, buffer: float = 0.0) -> Column:
     """The inner edge does not belong to the shell, the outer does. half_angle in radians; buffer widens all sides."""
     r, along = norm(v), dot(v, axis)
+    return in_cone_at(r, along, v, axis, half_angle, r_min, r_max, buffer)
+
+
+def in_cone_at(r: Column, along: Column, v: Vector, axis: tuple[float, float, float], half_angle: float, r_min, r_max, buffer: float = 0.0) -> Column:
+    """in_cone_shell of a distance and a part along the axis that are known."""
     across = norm(tuple(c - along * a for c, a in zip(v, axis, strict=True)))  # type: ignore[arg-type]
     angle = F.atan2(across, along)
     limit = F.lit(half_angle)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.geometry import Vector, floor_mod, norm
+from skyloom.functions.geometry import Vector, floor_mod, norm, step
 
 #: Ring and longitude offsets of the twelve base pixels. Fixed values.
 RING_OF_FACE, LONGITUDE_OF_FACE = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4), (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
@@ -70,12 +70,12 @@ def nest_of(face: Column, x: Column, y: Column, nside: int) -> Column:
 def _ring(df: DataFrame, face: str, x: str, y: str, nside: int, name: str) -> DataFrame:
     """df with the ring pixel of base pixel and position, step by step."""
     col, n = F.col, nside
-    df = df.withColumn("__jr", _pick(col(face), RING_OF_FACE) * n - col(x) - col(y) - 1)
+    df = step(df, __jr=_pick(col(face), RING_OF_FACE) * n - col(x) - col(y) - 1)
     nr, shift = _ring_geometry(col("__jr"), n)
-    df = df.withColumns({"__nr": nr, "__sh": shift})
+    df = step(df, __nr=nr, __sh=shift)
     north, south = col("__jr") < n, col("__jr") > 3 * n
     before = F.when(north, 2 * col("__jr") * (col("__jr") - 1)).when(south, n_pixels(n) - 2 * (col("__nr") + 1) * col("__nr")).otherwise(2 * n * (n - 1) + (col("__jr") - n) * 4 * n)
-    df = df.withColumns({"__be": before, "__jp": _long((_pick(col(face), LONGITUDE_OF_FACE) * col("__nr") + col(x) - col(y) + 1 + col("__sh")) / 2)})
+    df = step(df, **{"__be": before, "__jp": _long((_pick(col(face), LONGITUDE_OF_FACE) * col("__nr") + col(x) - col(y) + 1 + col("__sh")) / 2)})
     around = F.when(col("__jp") > 4 * n, col("__jp") - 4 * n).when(col("__jp") < 1, col("__jp") + 4 * n).otherwise(col("__jp"))
     return df.withColumn(name, col("__be") + around - 1).drop("__jr", "__nr", "__sh", "__be", "__jp")
 
@@ -89,14 +89,14 @@ def with_pixel(df: DataFrame, v: Vector, name: str, nside: int, nested: bool = T
     """df with the pixel of a direction (of any length but 0), step by step: one expression would repeat its parts many times."""
     check_nside(nside, nested)
     n, col = nside, F.col
-    df = df.withColumns({"__x": v[0], "__y": v[1], "__z": v[2]})
-    df = df.withColumns({"__cz": col("__z") / norm((col("__x"), col("__y"), col("__z"))), "__tt": floor_mod(F.atan2("__y", "__x") * (2 / math.pi), 4.0)})
-    df = df.withColumns({"__jp": _long(n * (0.5 + col("__tt")) - n * col("__cz") * 0.75), "__jm": _long(n * (0.5 + col("__tt")) + n * col("__cz") * 0.75), "__nt": F.least(_long(col("__tt")), F.lit(3).cast("long")), "__q": n * F.sqrt(3 * (1 - F.abs("__cz")))})
+    df = step(df, **{"__x": v[0], "__y": v[1], "__z": v[2]})
+    df = step(df, **{"__cz": col("__z") / norm((col("__x"), col("__y"), col("__z"))), "__tt": floor_mod(F.atan2("__y", "__x") * (2 / math.pi), 4.0)})
+    df = step(df, **{"__jp": _long(n * (0.5 + col("__tt")) - n * col("__cz") * 0.75), "__jm": _long(n * (0.5 + col("__tt")) + n * col("__cz") * 0.75), "__nt": F.least(_long(col("__tt")), F.lit(3).cast("long")), "__q": n * F.sqrt(3 * (1 - F.abs("__cz")))})
     held = lambda c: F.least(_long(c), F.lit(n - 1).cast("long"))
-    df = df.withColumns({"__ip": _long(col("__jp") / n), "__im": _long(col("__jm") / n), "__kp": held((col("__tt") - col("__nt")) * col("__q")), "__km": held((1 - col("__tt") + col("__nt")) * col("__q"))})
+    df = step(df, **{"__ip": _long(col("__jp") / n), "__im": _long(col("__jm") / n), "__kp": held((col("__tt") - col("__nt")) * col("__q")), "__km": held((1 - col("__tt") + col("__nt")) * col("__q"))})
     middle, north = F.abs("__cz") <= 2 / 3, col("__cz") >= 0
     around = F.when(col("__ip") == col("__im"), col("__ip") % 4 + 4).when(col("__ip") < col("__im"), col("__ip") % 4).otherwise(col("__im") % 4 + 8)
-    df = df.withColumns({"__face": F.when(middle, around).when(north, col("__nt")).otherwise(col("__nt") + 8).cast("long"), "__px": F.when(middle, col("__jm") % n).when(north, n - col("__km") - 1).otherwise(col("__kp")).cast("long"), "__py": F.when(middle, n - col("__jp") % n - 1).when(north, n - col("__kp") - 1).otherwise(col("__km")).cast("long")})
+    df = step(df, **{"__face": F.when(middle, around).when(north, col("__nt")).otherwise(col("__nt") + 8).cast("long"), "__px": F.when(middle, col("__jm") % n).when(north, n - col("__km") - 1).otherwise(col("__kp")).cast("long"), "__py": F.when(middle, n - col("__jp") % n - 1).when(north, n - col("__kp") - 1).otherwise(col("__km")).cast("long")})
     if nested:
         df = df.withColumn(name, nest_of(col("__face"), col("__px"), col("__py"), nside))
     else:
@@ -107,14 +107,14 @@ def with_pixel(df: DataFrame, v: Vector, name: str, nside: int, nested: bool = T
 def with_vectors(df: DataFrame, pixel: str, nside: int, nested: bool = True, prefix: str = "") -> DataFrame:
     """df with the unit vector (prefix + x, y, z) to a pixel's centre, step by step."""
     df = with_ring(df, pixel, "__ring", nside) if nested else df.withColumn("__ring", F.col(pixel))
-    df = df.withColumns(dict(zip(("__cz", "__phi"), ring_to_z_phi(F.col("__ring"), nside), strict=True)))
+    df = step(df, **dict(zip(("__cz", "__phi"), ring_to_z_phi(F.col("__ring"), nside), strict=True)))
     s = F.sqrt(F.greatest(1 - F.col("__cz") * F.col("__cz"), F.lit(0.0)))
     return df.withColumns({f"{prefix}x": s * F.cos("__phi"), f"{prefix}y": s * F.sin("__phi"), f"{prefix}z": F.col("__cz")}).drop("__ring", "__cz", "__phi")
 
 
 def with_ring(df: DataFrame, pixel: str, name: str, nside: int) -> DataFrame:
     """df with the ring pixel of a nested pixel."""
-    df = df.withColumns(dict(zip(("__f", "__rx", "__ry"), nest_parts(F.col(pixel), check_nside(nside, True)), strict=True)))
+    df = step(df, **dict(zip(("__f", "__rx", "__ry"), nest_parts(F.col(pixel), check_nside(nside, True)), strict=True)))
     return _ring(df, "__f", "__rx", "__ry", nside, name).drop("__f", "__rx", "__ry")
 
 

@@ -66,3 +66,38 @@ def to_attributes(unit: Unit) -> dict[str, float]:
     if unit.h:
         raise ValueError("powers of h are not written")
     return {**{f"U_{b}": p for b, p in zip(BASE, unit.powers, strict=True)}, "a-scale": unit.a, "h-scale": 0.0}
+
+
+#: Names of the dataset attributes that hold CGS factors. Fixed values of the file format.
+COMOVING_CGS, PHYSICAL_CGS, EXPONENT = "Conversion factor to CGS (not including cosmological corrections)", "Conversion factor to physical CGS (including cosmological corrections)", "a-scale exponent"
+GROUPS = {"physical_constants_cgs": "PhysicalConstants/CGS", "cosmology": "Cosmology", "units_cgs": ("Units", "InternalCodeUnits")}
+#: Which factor of a system of units is that of which base quantity. Fixed values of the file format.
+FACTORS = {"Unit current in cgs (U_I)": "I", "Unit length in cgs (U_L)": "L", "Unit mass in cgs (U_M)": "M", "Unit temperature in cgs (U_T)": "T", "Unit time in cgs (U_t)": "t"}
+
+
+def plain_attributes(attributes: dict) -> dict:
+    """Attributes as read from a file: bytes as text, what holds one value as that value."""
+    out = {}
+    for name, value in attributes.items():
+        one = value[0] if isinstance(value, (list, tuple)) and len(value) == 1 else value.item() if getattr(value, "size", 0) == 1 else value
+        out[name] = one.decode() if isinstance(one, bytes) else one
+    return out
+
+
+def snapshot_metadata(groups: dict[str, dict]) -> dict[str, dict]:
+    """The constants, cosmology and systems of units of a snapshot (its attributes by group), as numbers. KeyError names a group that is not there."""
+    numbers = lambda name: {k: float(v) for k, v in plain_attributes(groups[name]).items()}
+    return {k: numbers(v) if isinstance(v, str) else {one: numbers(one) for one in v} for k, v in GROUPS.items()}
+
+
+def base_factors(metadata: dict[str, dict], system: str = "Units") -> dict[str, float]:
+    """The CGS factor of each base quantity in a snapshot's system of units."""
+    held = metadata["units_cgs"][system]
+    return {base: held[name] for name, base in FACTORS.items() if name in held}
+
+
+def with_comoving_factor(attributes: dict, scale_factor: float) -> dict:
+    """A dataset's attributes with its CGS factor without cosmological corrections: as stored, else the physical one without its power of
+    the scale factor."""
+    plain = plain_attributes(attributes)
+    return {COMOVING_CGS: plain[PHYSICAL_CGS] / scale_factor ** plain[EXPONENT], **attributes} if COMOVING_CGS not in attributes else dict(attributes)

@@ -7,22 +7,43 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions.geometry import dot, norm, step, unit, vector
+
 
 def bins_of(spark: SparkSession, edges: list[float]) -> DataFrame:
     """bin, lo, hi."""
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))], "bin int, lo double, hi double")
 
 
+def bin_of(value: Column, edges: list[float]) -> Column:
+    """The bin of a value (lo <= value < hi; the last also holds its upper edge), null outside: a tree of comparisons, no join."""
+
+    def within(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(value < edges[middle], within(lo, middle)).otherwise(within(middle, hi))
+
+    return F.when((value >= edges[0]) & (value <= edges[-1]), within(0, len(edges) - 1))
+
+
 def counted(values: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     """bin, lo, hi, n: lo <= value < hi; the last bin also holds its upper edge. Bins without values have n = 0."""
     bins = bins_of(values.sparkSession, edges)
-    last = len(edges) - 2
-    v = values.select(value.alias("__v"))
-    inside = (F.col("__v") >= F.col("lo")) & ((F.col("__v") < F.col("hi")) | ((F.col("bin") == last) & (F.col("__v") == F.col("hi"))))
-    n = v.join(F.broadcast(bins), inside).groupBy("bin").agg(F.count("*").alias("n"))
+    v = step(values.select(value.alias("__v")), __bin=F.lit(None).cast("int") if len(edges) < 2 else bin_of(F.col("__v"), edges))
+    n = v.where("__bin is not null").groupBy(F.col("__bin").alias("bin")).agg(F.count("*").alias("n"))
     return bins.join(n, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counted_in_view(placed: DataFrame, edges: list[float], half_angle: float | None = None, axis: tuple[float, float, float] | None = None) -> DataFrame:
+    """counted by distance, of the rows (x, y, z) of a view, or of those within half_angle (radians) of an axis."""
+    if axis is not None:
+        along = dot(vector(), unit(axis))
+        angle = F.atan2(norm(tuple(c - along * a for c, a in zip(vector(), unit(axis), strict=True))), along)  # type: ignore[arg-type]
+        placed = placed.where(angle <= half_angle)
+    return counted(placed, norm(vector()), edges)
+
+
 def densities(counts: DataFrame, mean: float, half_angle: float | None = None) -> DataFrame:
     """counts with volume, expected, density and ratio to the mean density."""
     solid = 4 * math.pi if half_angle is None else 2 * math.pi * (1 - math.cos(half_angle))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.geometry import AXES, rotation_onto, turned, vector
+from skyloom.plans.stage import written
 
 GAMMA, NEIGHBOURS = 1.8, 32
 KINDS = ("Gas", "DM")
@@ -95,7 +96,8 @@ def smoothing_lengths(points: DataFrame, side: float, k: int = NEIGHBOURS, gamma
         raise ValueError(f"{k} neighbours need more than {total} points")
     base = points.select("id", *AXES)
     out, left, reach = [], base.select("id"), float(side)
-    for _ in range(12):
+    # A cube as wide as all points holds them all, so doubling ends.
+    while True:
         within = reach
         cube = [F.floor(F.col(a) / reach).cast("long").alias(f"b{a}") for a in AXES]
         keyed = base.select("id", *AXES, *cube)
@@ -116,9 +118,10 @@ def smoothing_lengths(points: DataFrame, side: float, k: int = NEIGHBOURS, gamma
                         h.append(far / gamma)
             return pd.DataFrame({"id": np.array(ids, np.int64), "h": np.array(h, float)})
 
-        got = ask.groupBy("ax", "ay", "az").cogroup(spread.groupBy(*keys)).applyInPandas(find, "id long, h double").checkpoint()
+        got = ask.groupBy("ax", "ay", "az").cogroup(spread.groupBy(*keys)).applyInPandas(find, "id long, h double")
+        got = written(got, "smoothing")
         out.append(got)
-        left = left.join(got, "id", "left_anti").checkpoint()
+        left = written(left.join(got, "id", "left_anti"), "left")
         if left.isEmpty():
             break
         reach *= 2

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import geometry as g
-from skyloom.operators import lattice
+from skyloom.plans.stage import written
 
 TOUCHING, SAME_PLACE, PERIODIC = 1e-6, 1e-6, 1e-6
 LABEL = ("nx", "ny", "nz")
@@ -23,10 +23,8 @@ def cell_copies(view, pieces: DataFrame, cells: int) -> DataFrame:
 
     Under the sphere lock a tile's pieces of several layers may hold one copy twice; the first layer's stays.
     """
-    grid = lattice.cell_grid(view.spark, view.box, cells).crossJoin(pieces.select("snap").distinct())
-    held = view.cells_in_pieces(pieces, grid, cells)
-    at = view.moved(g.vector("c"))
-    out = held.select("snap", "cell", *LABEL, F.coalesce("layer", F.lit(-1)).alias("layer"), "row", *[x.alias(a) for x, a in zip(at, g.AXES, strict=True)])
+    held = view.cells_in_pieces(pieces, view.grid(pieces, cells), cells)
+    out = held.select("snap", "cell", *LABEL, F.coalesce("layer", F.lit(-1)).alias("layer"), "row", *[F.col(f"at_{a}").alias(a) for a in g.AXES])
     if view.lock != "sphere":
         return out
     place = [F.round(F.col(a) / (view.box / cells) * 1000).cast("long") for a in g.AXES]
@@ -122,7 +120,7 @@ class Report:
 
 
 def check(view, z_min: float, z_max: float, cells: int, angle: float | None = None, los: float | None = None, window: int | None = 1, max_separation: float | None = None) -> Report:
-    copies = cell_copies(view, view.pieces(z_min, z_max), cells)
+    copies = written(cell_copies(view, view.pieces(z_min, z_max), cells), "copies")
     radius = search_radius(view.box / cells, view.box, los, max_separation)
     pairs = close_pairs(copies, view.box / cells, view.box, window, angle, los, radius=radius)
     return Report(copies, pairs, {**view.metadata((z_min, z_max)), "cells": cells, "radius": radius, "window": window})

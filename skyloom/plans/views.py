@@ -2,14 +2,14 @@
 
 A piece is (snap, tile, layer, r_lo, r_hi, orientation). The points of a snapshot are joined to its pieces, moved, and filtered;
 with a cell column the join is on (snap, cell), after cells have been held against every piece with a buffer of half a cell's
-diagonal. Pieces are a few for each tile that the shell crosses; they are broadcast only if counted to be at most
-BROADCAST_PIECES, and joined by shuffle beyond.
+diagonal. Pieces, and the cells near them, are made once (stage.fixed): a few for each tile that the shell crosses, broadcast if
+they are counted to be few and joined by shuffle beyond.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ from skyloom.functions import geometry as g
 from skyloom.functions.cosmology import Cosmology, expansion_factor, redshift_column
 from skyloom.operators import lattice, snapshots
 from skyloom.operators.orientation import MATRIX, Table
+from skyloom.plans.stage import fixed
 
-BROADCAST_PIECES = 100_000
 MAX_CONE_DEGREES = 60.01
 SETTINGS = ("box", "geometry", "axis", "half_angle_deg", "lock", "seed", "table", "rows", "h", "omega_m", "z_min", "z_max")
 
@@ -38,7 +38,6 @@ class View:
     axis: tuple[float, float, float] | None = None
     half_angle_deg: float | None = None
     available: DataFrame | None = None
-    held: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __post_init__(self):
         if self.lock not in g.LOCKS:
@@ -94,15 +93,8 @@ class View:
         return tiles.withColumn("row", row).join(F.broadcast(self.table.frame(self.spark)), "row")
 
     def pieces(self, z_min: float, z_max: float, use: list[int] | None = None) -> DataFrame:
-        return self.oriented(self.tiles(self.snapshots(z_min, z_max, use=use)))
-
-    def keeps(self, v: g.Vector, buffer: float = 0.0, method: str = "exact"):
-        """Whether a lattice position is in its piece; "approx" widens the shell by 2 Mpc, "all" keeps everything."""
-        if method not in ("exact", "approx", "all"):
-            raise ValueError(f"unknown method {method!r}")
-        if method == "all":
-            return F.lit(True)
-        return lattice.near_shell(v, self.axis, self.half_angle, F.col("r_lo"), F.col("r_hi"), 2.0 if method == "approx" else buffer)
+        """snap, tile, layer, r_lo, r_hi, row and the orientation's columns of each piece of a shell, made once."""
+        return fixed(self.oriented(self.tiles(self.snapshots(z_min, z_max, use=use))), "pieces")
 
     def moved(self, v: g.Vector) -> g.Vector:
         """Box coordinates to lattice positions of the row's piece."""
@@ -110,13 +102,33 @@ class View:
         shift = tuple(g.cell_shift(F.col(f"s{a}"), self.box) for a in g.AXES)
         return g.placed(g.reoriented(v, m, shift, self.box), tuple(F.col(t) for t in lattice.TILE), self.box)
 
-    def _sized(self, pieces: DataFrame) -> DataFrame:
-        return F.broadcast(pieces) if pieces.count() <= BROADCAST_PIECES else pieces
+    def _kept(self, df: DataFrame, position: tuple[str, str, str], buffer: float = 0.0, method: str = "exact") -> DataFrame:
+        """The rows of df (box coordinates in the columns named, and their piece's columns) that are in their piece, with at_x, at_y,
+        at_z: their lattice positions. Positions, distances and the test are steps of their own."""
+        if method not in ("exact", "approx", "all"):
+            raise ValueError(f"unknown method {method!r}")
+        at = g.vector("at_")
+        df = g.step(df, **dict(zip(("at_x", "at_y", "at_z"), self.moved(tuple(F.col(c) for c in position)), strict=True)))  # type: ignore[arg-type]
+        buffer = 2.0 if method == "approx" else buffer
+        if method == "all":
+            return df
+        if self.axis is None:
+            df = g.staged(df, at_r=g.norm(at))
+            test = g.in_sphere_shell(F.col("at_r"), F.col("r_lo"), F.col("r_hi"), buffer)
+        else:
+            df = g.staged(df, at_r=g.norm(at), at_along=g.dot(at, self.axis))
+            test = g.in_cone_at(F.col("at_r"), F.col("at_along"), at, self.axis, self.half_angle, F.col("r_lo"), F.col("r_hi"), buffer)
+        return df.where(g.done(test)).drop(g.STEP, "at_r", "at_along")
 
     def cells_in_pieces(self, pieces: DataFrame, cells: DataFrame, n: int) -> DataFrame:
-        """pieces and the cells (snap, cell, cx, cy, cz, ...) whose moved centre is within half a diagonal of the piece."""
-        joined = cells.join(self._sized(pieces), "snap")
-        return joined.where(self.keeps(self.moved(g.vector("c")), lattice.cell_buffer(self.box, n)))
+        """pieces and the cells (snap, cell, cx, cy, cz, ...) whose moved centre (at_x, at_y, at_z) is within half a diagonal of the piece."""
+        return self._kept(cells.join(pieces, "snap"), ("cx", "cy", "cz"), lattice.cell_buffer(self.box, n))
+
+    def grid(self, pieces: DataFrame, n: int) -> DataFrame:
+        """snap, cell, cx, cy, cz: every cell for each snapshot of the pieces (a few hundred at most)."""
+        snaps = sorted(r["snap"] for r in pieces.select("snap").distinct().collect())
+        grid = lattice.cell_grid(self.spark, self.box, n)
+        return grid.select(F.explode(F.array(*map(F.lit, snaps)).cast("array<int>")).alias("snap"), "*")
 
     def file_plan(self, pieces: DataFrame, cells: DataFrame, n: int) -> DataFrame:
         """snap, tile, layer, file, ranges, n_rows: adjoining row ranges to read for each piece; files without rows are left out."""
@@ -132,16 +144,12 @@ class View:
         columns = [c for c in points.columns if c not in (*position, *(velocity or ()))]
         keys, plan = ["snap"], pieces
         if cells:
-            grid = lattice.cell_grid(self.spark, self.box, cells).crossJoin(pieces.select("snap").distinct())
-            plan, keys = self.cells_in_pieces(pieces, grid, cells).drop("cx", "cy", "cz"), ["snap", "cell"]
-        joined = points.join(self._sized(plan), keys)
-        at = self.moved(tuple(F.col(c) for c in position))
-        turned = g.turned(tuple(F.col(c) for c in velocity), [F.col(m) for m in MATRIX]) if velocity else ()
-        kinds = {c: points.schema[c].dataType for c in velocity or ()}
-        # Positions are made before the filter, once, under names of their own.
-        out = joined.select(*[F.col(c) for c in columns], *lattice.TILE, "layer", "r_lo", "r_hi", *[x.alias(f"__{c}") for x, c in zip(at, position, strict=True)], *[x.cast(kinds[c]).alias(c) for x, c in zip(turned, velocity or (), strict=True)])
-        kept = out.where(self.keeps(tuple(F.col(f"__{c}") for c in position), method=method))  # type: ignore[arg-type]
-        return kept.select(*[F.col(c) for c in columns], *[F.col(f"__{c}").alias(c) for c in position], *(velocity or ()), *lattice.TILE, "layer")
+            near = self.cells_in_pieces(pieces, self.grid(pieces, cells), cells).drop("cx", "cy", "cz", "at_x", "at_y", "at_z")
+            plan, keys = fixed(near, "cells"), ["snap", "cell"]
+        kept = self._kept(points.join(plan, keys), position, method=method)
+        turned = g.turned(tuple(F.col(c) for c in velocity), [F.col(m) for m in MATRIX]) if velocity else ()  # type: ignore[arg-type]
+        moved = [F.col(f"at_{a}").alias(c) for a, c in zip(g.AXES, position, strict=True)]
+        return kept.select(*columns, *moved, *[x.cast(points.schema[c].dataType).alias(c) for x, c in zip(turned, velocity or (), strict=True)], *lattice.TILE, "layer")
 
     def with_expansion(self, placed: DataFrame, position: tuple[str, str, str] = g.AXES) -> DataFrame:
         """placed with redshift and expansion_factor at each row's distance."""

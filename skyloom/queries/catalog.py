@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from skyloom.functions import healpix as hp
 from skyloom.operators import density, lattice, maps, orientation, projection, repeats, snapshots
 from skyloom.plans.views import look_back
 from skyloom.queries import fixtures as fx
+from skyloom.queries import more
 from skyloom.queries.fixtures import BOX, CELLS, HALOS_SQL, OUTPUTS_SQL, POINTS_SQL, SHELL
 from skyloom.sources import catalogue
 
@@ -206,8 +208,12 @@ def cells_in_shell(spark, sf):
 @query(f"{_NEAR_CELLS} SELECT snap, nx, ny, nz, CAST(file AS INT) AS file, count(*) AS n_cells, CAST(sum(cnt) AS BIGINT) AS n_rows FROM held GROUP BY ALL")
 def file_plan(spark, sf):
     v = fx.view(spark, "cube", True)
-    cells = v.cells_in_pieces(v.pieces(*fx.CONE_SHELL), lattice.cell_table(fx.points(spark, sf), BOX, CELLS, fx.FILES), CELLS)
-    return cells.groupBy("snap", *TILE, "file").agg(F.count("*").alias("n_cells"), F.sum("cnt").alias("n_rows"))
+    plan = v.file_plan(v.pieces(*fx.CONE_SHELL), lattice.cell_table(fx.points(spark, sf), BOX, CELLS, fx.FILES), CELLS)
+    cells = lattice.cell_table(fx.points(spark, sf), BOX, CELLS, fx.FILES)
+    # Cells are counted through the ranges that the plan made of them.
+    ranges = plan.select("snap", *TILE, "file", "n_rows", F.explode("ranges").alias("r"))
+    held = ranges.join(cells.select("snap", "file", F.col("first").alias("at")), ["snap", "file"]).where((F.col("at") >= F.col("r.first")) & (F.col("at") < F.col("r.first") + F.col("r.cnt")))
+    return held.groupBy("snap", *TILE, "file").agg(F.count("*").alias("n_cells"), F.max("n_rows").alias("n_rows"))
 
 
 @query(f"{_NEAR_CELLS}, marked AS (SELECT *, CASE WHEN lag(first + cnt) OVER w = first THEN 0 ELSE 1 END AS new FROM held WINDOW w AS (PARTITION BY snap, nx, ny, nz, file ORDER BY first)), runs AS (SELECT *, sum(new) OVER (PARTITION BY snap, nx, ny, nz, file ORDER BY first) AS run FROM marked) SELECT snap, nx, ny, nz, CAST(file AS INT) AS file, CAST(min(first) AS BIGINT) AS first, CAST(sum(cnt) AS BIGINT) AS cnt FROM runs GROUP BY snap, nx, ny, nz, file, run")
@@ -286,14 +292,14 @@ def halo_lookback(spark, sf):
     return look_back(QUERIES["halos_all_sky"](spark, sf), fx.halos(spark, sf), ["mass", "radius"]).select("snap", "halo_index", *TILE, "mass", "radius")
 
 
-@query(f"WITH {HALOS_SQL} SELECT halo_index, mass FROM halos WHERE mass > 1500 AND mass <= 1800")
+@query(f"WITH {HALOS_SQL} SELECT halo_index, mass FROM halos WHERE mass > 980 AND mass <= 1020")
 def select_rows_by_mass(spark, sf):
-    return catalogue.where(fx.halos(spark, sf), (F.col("mass") > 1500) & (F.col("mass") <= 1800)).select("halo_index", "mass")
+    return catalogue.where(fx.halos(spark, sf), (F.col("mass") > 980) & (F.col("mass") <= 1020)).select("halo_index", "mass")
 
 
-@query(f"WITH {HALOS_SQL} SELECT halo_index, mass FROM halos WHERE mass > 1500 AND mass <= 1800")
+@query(f"WITH {HALOS_SQL} SELECT halo_index, mass FROM halos WHERE mass > 980 AND mass <= 1020")
 def select_rows_by_function(spark, sf):
-    return catalogue.where(fx.halos(spark, sf), lambda m: (m > 1500) & (m <= 1800), "mass").select("halo_index", "mass")
+    return catalogue.where(fx.halos(spark, sf), lambda m: (m > 980) & (m <= 1020), "mass").select("halo_index", "mass")
 
 
 @query(f"WITH {HALOS_SQL} SELECT halo_index, mass, radius FROM halos WHERE halo_index >= 100 AND halo_index < 250")
@@ -523,8 +529,6 @@ SQL["project_sph"] = SQL["project_sph"].replace("FROM slice, j a, j b WHERE", f"
 
 @query(f"WITH {HALOS_SQL}, d AS (SELECT a.halo_index AS id, sqrt(power(a.hx - b.hx, 2) + power(a.hy - b.hy, 2) + power(a.hz - b.hz, 2)) AS d, row_number() OVER (PARTITION BY a.halo_index ORDER BY power(a.hx - b.hx, 2) + power(a.hy - b.hy, 2) + power(a.hz - b.hz, 2)) AS r FROM halos a, halos b) SELECT id, round(d / 1.8, 6) AS h FROM d WHERE r = 33")
 def smoothing_lengths(spark, sf):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/skyloom-checkpoints"))
     h = fx.halos(spark, sf).select(F.col("halo_index").alias("id"), F.col("hx").alias("x"), F.col("hy").alias("y"), F.col("hz").alias("z"))
     return projection.smoothing_lengths(h, 250.0).select("id", F.round("h", 6).alias("h"))
 
@@ -538,11 +542,6 @@ def _centred():
     return tuple(F.col(f"h{a}") - 500.0625 for a in g.AXES)
 
 
-@query()
-def halo_pixels(spark, sf):
-    return hp.with_pixel(hp.with_pixel(fx.halos(spark, sf), _centred(), "nest", NSIDE), _centred(), "ring", NSIDE, nested=False).select("halo_index", "nest", "ring")
-
-
 def _pixel_sql() -> str:
     """Nested pixel of haloes in DuckDB's SQL, by the published formulas."""
     bits = lambda v: " + ".join(f"((({v}) >> {i}) & 1) << {2 * i}" for i in range(5))
@@ -621,3 +620,6 @@ def flagship_view(spark, sf):
     p = fx.table(spark, sf, "lineitem").select((69 + F.col("l_partkey") % 9).cast("int").alias("snap"), at("l_orderkey", 7919, 8000).alias("x"), at("l_orderkey", 104729, 7993).alias("y"), at("l_partkey", 1299709, 7963).alias("z"), F.col("l_quantity").alias("m"))
     v = fx.view(spark, "cube")
     return v.place(p, v.pieces(*fx.CONE_SHELL)).groupBy("snap").agg(F.count("*").alias("n"), F.sum("m").alias("mass"))
+
+
+more.register(query, sys.modules[__name__])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,3 +100,36 @@ def density_file(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFr
     first = spark.read.text(path).first()["value"]
     settings = dict(p.strip().split("=", 1) for p in first.lstrip("# ").split(";") if "=" in p) if first.startswith("#") else {}
     return settings, spark.read.csv(path, header=True, inferSchema=True, comment="#")
+
+
+def length(spark: SparkSession, path: str) -> int:
+    """Rows of a catalogue, from the footers of its files: no column is read."""
+    return spark.read.parquet(path).count()
+
+
+def rotation_angles(spark: SparkSession, path: str) -> DataFrame:
+    """shell, theta, phi in degrees, of a table that holds radians."""
+    rows = scan(spark, path, ["shell", "theta", "phi"])
+    return rows.select("shell", F.degrees("theta").alias("theta"), F.degrees("phi").alias("phi"))
+
+
+def first_file(name: str, places: list[str | None]) -> str:
+    """The first of the places (a file, or a folder that holds one of that name) that is there; FileNotFoundError names all."""
+    tried = [str(p) for p in places if p]
+    for p in tried:
+        for found in (Path(p), Path(p) / name):
+            if found.is_file():
+                return str(found.resolve())
+    raise FileNotFoundError(f"{name} is in none of {tried}")
+
+
+def pixel_weights(nside: int, places: list[str | None]) -> str:
+    """The folder, of those given, that holds full pixel weights of an nside."""
+    name = f"healpix_full_weights_nside_{nside:04d}.fits"
+    return str(Path(first_file(name, [f"{p}/full_weights" if p else None for p in places])).parent.parent)
+
+
+def has_pixel_weights(places: list[str | None], nside: int | None = None) -> bool:
+    folders = [Path(p) / "full_weights" for p in places if p]
+    wanted = "*.fits" if nside is None else f"healpix_full_weights_nside_{nside:04d}.fits"
+    return any(f.is_dir() and (nside is None or any(f.glob(wanted))) for f in folders)
