@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import arrow_schema, runs, written
+from skyloom.llm.common import arrow_schema, released, runs, written
 from skyloom.llm.lsh import Hashes, probe_keys, probe_sets
 
 K, TABLES, FUNCTIONS, WIDTH, PROBES, RECALL, SAMPLE, BLOCK, ASKED = 10, 4, 4, 1.3, 81, 0.94, 4096, 4096, 2048
@@ -114,7 +114,7 @@ def _search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(tables), pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n)))], schema=arrow_schema("t int, key long, id long"))
 
     kind = "t int, key long, id long"
-    entries, visits = written(classes.mapInArrow(index, kind), "entries"), written(queries.mapInArrow(probe, kind), "visits")
+    entries, visits = written(classes.mapInArrow(released(index), kind), "entries"), written(queries.mapInArrow(released(probe), kind), "visits")
     sized = lambda df, size, name: df.groupBy("t", "key").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     blocks = written(sized(entries, BLOCK, "n").join(sized(visits, ASKED, "copies"), ["t", "key"]), "buckets")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -133,7 +133,7 @@ def _search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 n = [len(at) for _, at, _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, _, _ in out]), n)), pa.array(np.concatenate([names[at] for _, at, _ in out])), pa.array(np.concatenate([d for _, _, d in out]))], schema=arrow_schema(FOUND))
 
-    found = rows.repartition("t", "key", "block").sortWithinPartitions("t", "key", "block").mapInArrow(compare, FOUND)
+    found = rows.repartition("t", "key", "block").sortWithinPartitions("t", "key", "block").mapInArrow(released(compare), FOUND)
     once = found.groupBy("query_id", "class_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "class_id"))
     return once.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +19,7 @@ SIMILARITY_PERCENT = 75
 
 
 #: Arrow batches to and from Python workers hold about so many bytes (a longer row is a batch of its own).
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 _WRITTEN: list[str] = []
 
 
@@ -75,10 +77,40 @@ def others(columns: list[str], added: tuple[str, ...]) -> dict[str, str]:
     return {f"c{i}": c for i, c in enumerate(columns) if c.lower() not in taken}
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, where it is one that can be told about its memory."""
+    found = ctypes.CDLL(None)
+    return found if hasattr(found, "malloc_trim") and hasattr(found, "mallopt") else None
+
+
+#: mallopt's parameter for the size from which a block is given back when it is freed. A fixed value of the C library.
+_M_MMAP_THRESHOLD = -3
+
+
+def lean() -> None:
+    """From here on this worker gives freed blocks of a megabyte or more back at once, Arrow's included."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if _libc():
+        _libc().mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+
+
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives free memory back at its end: a worker that waits for its next task holds little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if _libc():
+            _libc().malloc_trim(0)
+
+    return run
+
+
 class WordHash(dict):
     """Byte word -> 64-bit hash, computed once for each word. clear_if_full bounds its memory."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word)

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import numbered, others, written
+from skyloom.llm.common import numbered, others, released, written
 
 WINDOW, BLOCK, THRESHOLD, SIMILARITY, SHARD_BYTES, COMMON = 128, 16, 0.6, 0.75, 16 << 20, 0.3
 K1, B = 1.2, 0.75
@@ -232,7 +232,7 @@ def _marked(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
             new = [sorted([*old, *(own.ids[d] for d in own.matches(x.as_py()))], key=lambda i: (i is not None, i or 0)) for x, old in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.list_(pa.int64()))], names=batch.schema.names)
 
-    return docs.mapInArrow(mark, docs.schema)
+    return docs.mapInArrow(released(mark), docs.schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

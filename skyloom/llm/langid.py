@@ -15,9 +15,8 @@ A document is rejected if its text says nothing (no letters), if the best langua
 its words are unlike any known language: a mean log likelihood for each trigram more than MIN_FIT below what the model's own
 training rows have.
 
-Fitting: languages are the LANGUAGES labels with the most documents; the model is counted on a bounded sample, the PER_LANGUAGE
-texts of each language with the smallest hashes of id and text, read whole where they are: only trigram counts come to the
-driver. Everything else covers all documents.
+Fitting: languages are the LANGUAGES labels with the most documents; the model is counted on a bounded sample, PER_LANGUAGE
+texts of each language by hashes of id and text, read whole where they are: only trigram counts come to the driver. Everything else covers all documents.
 
 Cases: null or empty text has only the other evidence and is rejected; null language, url or host give no evidence of
 their kind (a null host is one host). Labels and declared codes count by their first subtag (pt-BR is pt). Unknown codes give none. Ties go to the first language by name. Repeated rows
@@ -37,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import arrow_schema, numbered, others, written
+from skyloom.llm.common import arrow_schema, numbered, others, released, written
 from skyloom.llm.maintext import main_texts
 from skyloom.llm.urlfilter import host_and_path
 
 LANGUAGES, PER_LANGUAGE, SHORTEST = 256, 400, 20
 TEMPER, MOST, TRUST, TRUST_SUFFIX, PRIOR, MIN_POSTERIOR, MIN_FIT = 0.1, 12.0, 0.9, 0.7, 20.0, 0.6, 4.0
 _LETTERS = re.compile(r"[^\W\d_]+")
-HELD = 250_000
+HELD = 100_000
 
 
 class Model:
@@ -140,13 +139,19 @@ def train(docs: DataFrame, language: str = "lang", text: str = "text", order: st
     """The model of the bounded sample of labelled rows. Equal rows count once."""
     label, whole = first_subtag(F.col(f"`{language}`").cast("string")), F.col(f"`{text}`").cast("string")
     rows = docs.select(label.alias("l"), F.xxhash64(F.col(f"`{order}`"), whole).alias("h"), whole.alias("t")).where(F.col("l").isNotNull() & (F.length("t") >= SHORTEST))
-    names = sorted(r["l"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect())
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    names = sorted(sizes)
+    if not names:
+        return Model([], {})
+    # Only hashes that a label's number divides are ranked: about four times as many as are wanted, however many there are.
+    every = F.create_map(*[F.lit(x) for l in names for x in (l, max(1, sizes[l] // (4 * PER_LANGUAGE)))])
     place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    kept = rows.where(F.col("l").isin(names)).select("l", "h").distinct().withColumn("p", place).where(F.col("p") <= PER_LANGUAGE)
+    drawn = rows.where(F.col("l").isin(names)).where(F.pmod("h", every[F.col("l")]) == 0)
+    kept = drawn.select("l", "h").distinct().withColumn("p", place).where(F.col("p") <= PER_LANGUAGE)
     # At most LANGUAGES * PER_LANGUAGE rows of two columns.
     texts = rows.join(F.broadcast(kept.select("l", "h")), ["l", "h"]).dropDuplicates(["l", "h"]).select("l", "t")
     counts: dict[str, np.ndarray] = {}
-    for r in texts.mapInArrow(_counted, COUNTS).groupBy("l", "gram").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(released(_counted), COUNTS).groupBy("l", "gram").agg(F.sum("n").alias("n")).collect():
         counts.setdefault(r["gram"], np.zeros(len(names)))[names.index(r["l"])] = r["n"]
     return Model(names, counts)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import arrow_schema
+from skyloom.llm.common import arrow_schema, released
 
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -442,4 +442,4 @@ def main_texts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 texts = [main_text(x.as_py(), weights) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *part.columns[3:]], schema=arrow_schema(result))
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), *[F.col(c).cast("string") for c in keep]).mapInArrow(extract, result)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), *[F.col(c).cast("string") for c in keep]).mapInArrow(released(extract), result)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, WordHash, arrow_schema, byte_words, mix64, runs, shingles, written
+from skyloom.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, WordHash, arrow_schema, byte_words, mix64, released, runs, shingles, written
 from skyloom.llm.graph import components
 
 BANDS, ROWS, BASE, RATE, TOP = 48, 5, 1.001, 20.0, 65535
@@ -104,7 +104,7 @@ def with_sets(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             ids = [set_id(shingle_set(x.as_py())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(name, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(released(name), schema)
 
 
 SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
@@ -127,7 +127,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     regs.append(registers(members).tobytes() if len(members) > 2 else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary())], schema=arrow_schema(SKETCHES))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, SKETCHES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(sketch), SKETCHES)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -144,7 +144,7 @@ def bands(reps: DataFrame) -> DataFrame:
                 keys = mix64(((regs + np.uint64(1)) * _MIX[:, :ROWS]).sum(axis=2, dtype=np.uint64) + _MIX[:, ROWS])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.view(np.int64).ravel())], schema=arrow_schema("id long, key long"))
 
-    return reps.select("id", "sketch").mapInArrow(band, "id long, key long")
+    return reps.select("id", "sketch").mapInArrow(released(band), "id long, key long")
 
 
 def _likely_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep = pa.array(likely(_regs(batch.column(4)), _regs(batch.column(5)), n_a, n_b))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=arrow_schema("id long, pivot long"))
 
-    return both.mapInArrow(test, "id long, pivot long")
+    return both.mapInArrow(released(test), "id long, pivot long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     b.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow_schema("a long, b long"))
 
-    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "member").mapInArrow(confirm, "a long, b long")
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "member").mapInArrow(released(confirm), "a long, b long")
 
 
 def _block_links(ids: np.ndarray, of: np.ndarray, seeks: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -235,7 +235,7 @@ def _remaining(groups: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
             a, b = _block_links(block.column(3).to_numpy(), block.column(4).to_numpy(), seeks, sets)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow_schema("a long, b long"))
 
-    return rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(compare, "a long, b long")
+    return rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(released(compare), "a long, b long")
 
 
 def _texts(docs: DataFrame, reps: DataFrame, several: DataFrame | None) -> DataFrame:

@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import arrow_schema
+from skyloom.llm.common import arrow_schema, released
 from skyloom.llm.tokens import encoder
 
 #: Rows are handed to the encoder in slices of about so many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -55,4 +55,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                 columns = [c.slice(start, n) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, n_bytes, pa.array(counts), pa.array(counts > limit)], schema=schema)
 
-    return kept.mapInArrow(count, ddl)
+    return kept.mapInArrow(released(count), ddl)

@@ -50,7 +50,7 @@ class PieceEncoder:
     batch_bytes: the bytes of a call to the library. cache: the number of pieces kept (about 40 bytes each); all go when it is full.
     """
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 20, cache: int = 600_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 20, cache: int = 400_000):
         self.batch_bytes, self.limit = batch_bytes, cache
         self._forget()
         if path.endswith(".json"):
