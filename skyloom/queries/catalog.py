@@ -13,6 +13,7 @@ from skyloom.functions import cosmology as cos
 from skyloom.functions import geometry as g
 from skyloom.functions import healpix as hp
 from skyloom.operators import density, lattice, maps, orientation, projection, repeats, snapshots
+from skyloom.plans.stage import written
 from skyloom.plans.views import look_back
 from skyloom.queries import fixtures as fx
 from skyloom.queries import more
@@ -359,7 +360,7 @@ _COPIES = f"WITH {fx.pieces_sql((0.12, 0.2))}, {_GRID}, placed AS (SELECT c.snap
 
 def _copies(spark):
     v = fx.view(spark)
-    return repeats.cell_copies(v, v.pieces(0.12, 0.2), CELLS)
+    return written(repeats.cell_copies(v, v.pieces(0.12, 0.2), CELLS), "copies")
 
 
 @query(f"{_COPIES} SELECT snap, cell, nx, ny, nz, row, x, y, z FROM copies")
@@ -372,64 +373,40 @@ def cell_pairs_window(spark, sf):
     return repeats.pair_counts(_copies(spark), 1)
 
 
-_PAIRS = f"{_COPIES}, p AS (SELECT a.cell, a.snap AS a_snap, a.nx AS a_nx, a.ny AS a_ny, a.nz AS a_nz, b.snap AS b_snap, b.nx AS b_nx, b.ny AS b_ny, b.nz AS b_nz, a.row AS ra, b.row AS rb, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS separation, sqrt(a.x*a.x + a.y*a.y + a.z*a.z) AS da, sqrt(b.x*b.x + b.y*b.y + b.z*b.z) AS db, a.x*b.x + a.y*b.y + a.z*b.z AS ab FROM copies a JOIN copies b ON a.cell = b.cell AND a.snap = b.snap AND (a.nx, a.ny, a.nz) < (b.nx, b.ny, b.nz)), pairs AS (SELECT *, abs(separation - 125) <= 125e-6 AS touching, acos(greatest(-1, least(1, ab / (da * db)))) <= 0.1 AND abs(da - db) <= 1000 AND NOT (ra = rb AND dx % 1000 = 0 AND dy % 1000 = 0 AND dz % 1000 = 0) AS line_of_sight FROM p WHERE separation <= 400 AND separation > 125e-6)"
+# Copies pair up to a box along the sight plus a cell's diagonal, and between neighbouring snapshots.
+_PAIRS = f"{_COPIES}, p AS (SELECT a.cell, a.snap AS a_snap, a.nx AS a_nx, a.ny AS a_ny, a.nz AS a_nz, b.snap AS b_snap, b.nx AS b_nx, b.ny AS b_ny, b.nz AS b_nz, a.row AS ra, b.row AS rb, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS separation, sqrt(a.x*a.x + a.y*a.y + a.z*a.z) AS da, sqrt(b.x*b.x + b.y*b.y + b.z*b.z) AS db, a.x*b.x + a.y*b.y + a.z*b.z AS ab FROM copies a JOIN copies b ON a.cell = b.cell AND b.snap <= a.snap + 1 AND (a.snap, a.nx, a.ny, a.nz) < (b.snap, b.nx, b.ny, b.nz)), pairs AS (SELECT *, abs(separation - 125) <= 125e-6 AS touching, acos(greatest(-1, least(1, ab / (da * db)))) <= 0.1 AND abs(da - db) <= 1000 AND NOT (ra = rb AND dx % 1000 = 0 AND dy % 1000 = 0 AND dz % 1000 = 0) AS line_of_sight FROM p WHERE separation <= 1000 + 125 * sqrt(3e0) AND separation > 125e-6)"
 
 
 def _pairs(spark):
-    return repeats.close_pairs(_copies(spark), BOX / CELLS, BOX, 0, 0.1, radius=400.0)
+    return repeats.close_pairs(_copies(spark), BOX / CELLS, BOX, angle=0.1)
 
 
-@query(f"{_PAIRS} SELECT cell, a_snap, a_nx, a_ny, a_nz, b_nx, b_ny, b_nz, round(separation, 6) AS separation, touching, line_of_sight FROM pairs")
+@query(f"{_PAIRS} SELECT cell, a_snap, a_nx, a_ny, a_nz, b_snap, b_nx, b_ny, b_nz, round(separation, 6) AS separation, touching, line_of_sight FROM pairs")
 def close_pairs(spark, sf):
-    return _pairs(spark).select("cell", "a_snap", *[f"{p}_{t}" for p in "ab" for t in TILE], F.round("separation", 6).alias("separation"), "touching", "line_of_sight")
+    return _pairs(spark).select("cell", *[f"{p}_{t}" for p in "ab" for t in ("snap", *TILE)], F.round("separation", 6).alias("separation"), "touching", "line_of_sight")
 
 
-@query(f"{_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (touching) AS touching, count(*) FILTER (line_of_sight) AS line_of_sight, (SELECT count(*) FROM (SELECT DISTINCT cell, a_nx, a_ny, a_nz, b_nx, b_ny, b_nz FROM pairs WHERE touching)) AS faces FROM pairs")
+@query(f"{_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (touching) AS touching, count(*) FILTER (line_of_sight) AS line_of_sight, (SELECT count(*) FROM (SELECT DISTINCT cell, list_sort([[a_nx, a_ny, a_nz], [b_nx, b_ny, b_nz]]) FROM pairs WHERE touching)) AS faces FROM pairs")
 def touching_pairs(spark, sf):
-    p = _pairs(spark)
+    p = written(_pairs(spark), "pairs")
     return p.agg(F.count("*").alias("pairs"), F.count_if("touching").alias("touching"), F.count_if("line_of_sight").alias("line_of_sight")).crossJoin(repeats.touching_faces(p).agg(F.count("*").alias("faces")))
 
 
 @query(f"{_PAIRS}, ends AS (SELECT cell, a_snap AS snap, a_nx AS nx, a_ny AS ny, a_nz AS nz, separation FROM pairs UNION ALL SELECT cell, b_snap, b_nx, b_ny, b_nz, separation FROM pairs), best AS (SELECT cell, snap, nx, ny, nz, min(separation) AS closest FROM ends GROUP BY ALL) SELECT c.cell, c.snap, c.nx, c.ny, c.nz, round(closest, 6) AS closest FROM copies c LEFT JOIN best USING (cell, snap, nx, ny, nz)")
 def closest_copy(spark, sf):
-    return repeats.closest_copy(_copies(spark), BOX / CELLS, BOX, 0, 400.0).select("cell", "snap", *TILE, F.round("closest", 6).alias("closest"))
-
-
-# The same at the operator's own reach: a box along the sight plus a cell's diagonal, and neighbouring snapshots.
-_FAR_PAIRS = _PAIRS.replace("a.snap = b.snap AND (a.nx, a.ny, a.nz) < (b.nx, b.ny, b.nz)", "b.snap <= a.snap + 1 AND (a.snap, a.nx, a.ny, a.nz) < (b.snap, b.nx, b.ny, b.nz)").replace("separation <= 400", "separation <= 1000 + 125 * sqrt(3e0)")
-
-
-def _far_pairs(spark):
-    return repeats.close_pairs(_copies(spark), BOX / CELLS, BOX, angle=0.1)
-
-
-@query(f"{_FAR_PAIRS} SELECT cell, a_snap, a_nx, a_ny, a_nz, b_snap, b_nx, b_ny, b_nz, round(separation, 6) AS separation, touching, line_of_sight FROM pairs")
-def close_pairs_whole(spark, sf):
-    return _far_pairs(spark).select("cell", *[f"{p}_{t}" for p in "ab" for t in ("snap", *TILE)], F.round("separation", 6).alias("separation"), "touching", "line_of_sight")
-
-
-@query(f"{_FAR_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (touching) AS touching, count(*) FILTER (line_of_sight) AS line_of_sight, (SELECT count(*) FROM (SELECT DISTINCT cell, list_sort([[a_nx, a_ny, a_nz], [b_nx, b_ny, b_nz]]) FROM pairs WHERE touching)) AS faces FROM pairs")
-def touching_pairs_whole(spark, sf):
-    p = _far_pairs(spark)
-    return p.agg(F.count("*").alias("pairs"), F.count_if("touching").alias("touching"), F.count_if("line_of_sight").alias("line_of_sight")).crossJoin(repeats.touching_faces(p).agg(F.count("*").alias("faces")))
-
-
-@query(SQL["closest_copy"].replace(_PAIRS, _FAR_PAIRS))
-def closest_copy_whole(spark, sf):
     return repeats.closest_copy(_copies(spark), BOX / CELLS, BOX).select("cell", "snap", *TILE, F.round("closest", 6).alias("closest"))
 
 
-_FEW = 12
-_FACES = f"WITH {fx.ORIENT_SQL}, {_GRID}, moved AS (SELECT row, cell, {fx.moved_sql(('cx', 'cy', 'cz'), tile=False)} FROM grid, orient WHERE row < {_FEW}), placed AS (SELECT CAST(row AS INT) AS row, CAST(cell AS BIGINT) AS cell, CAST(floor(x / 125) AS INT) AS i, CAST(floor(y / 125) AS INT) AS j, CAST(floor(z / 125) AS INT) AS k FROM moved), keys AS (" + " UNION ALL ".join(f"SELECT row, {a} AS axis, CASE WHEN {c} = 7 THEN 1 ELSE -1 END AS side, (cell * 8 + {u}) * 8 + {v} AS key FROM placed WHERE {c} IN (0, 7)" for a, c, u, v in ((0, "i", "j", "k"), (1, "j", "i", "k"), (2, "k", "i", "j"))) + ")"
+_FACES = f"WITH {fx.ORIENT_SQL}, {_GRID}, moved AS (SELECT row, cell, {fx.moved_sql(('cx', 'cy', 'cz'), tile=False)} FROM grid, orient), placed AS (SELECT CAST(row AS INT) AS row, CAST(cell AS BIGINT) AS cell, CAST(floor(x / 125) AS INT) AS i, CAST(floor(y / 125) AS INT) AS j, CAST(floor(z / 125) AS INT) AS k FROM moved), keys AS (" + " UNION ALL ".join(f"SELECT row, {a} AS axis, CASE WHEN {c} = 7 THEN 1 ELSE -1 END AS side, (cell * 8 + {u}) * 8 + {v} AS key FROM placed WHERE {c} IN (0, 7)" for a, c, u, v in ((0, "i", "j", "k"), (1, "j", "i", "k"), (2, "k", "i", "j"))) + ")"
 
 
-def _few(spark):
-    return fx.ORIENTATIONS[slice(_FEW)].frame(spark)
+def _orientations(spark):
+    return fx.ORIENTATIONS.frame(spark)
 
 
 @query(f"{_FACES} SELECT row, axis, side, key FROM keys")
 def face_keys(spark, sf):
-    return orientation.face_keys(_few(spark), CELLS)
+    return orientation.face_keys(_orientations(spark), CELLS)
 
 
 _CLASHES = f"{_FACES}, p AS (SELECT DISTINCT a.row AS a, b.row AS b FROM keys a JOIN keys b ON a.axis = b.axis AND a.key = b.key AND a.side = 1 AND b.side = -1), c AS (SELECT a, b FROM p UNION SELECT b, a FROM p)"
@@ -437,49 +414,24 @@ _CLASHES = f"{_FACES}, p AS (SELECT DISTINCT a.row AS a, b.row AS b FROM keys a
 
 @query(f"{_CLASHES} SELECT a, b FROM c")
 def clashing_rows(spark, sf):
-    return orientation.clashing_pairs(_few(spark), CELLS)
+    return orientation.clashing_pairs(_orientations(spark), CELLS)
 
 
 @query(f"{_CLASHES} SELECT count(*) AS n FROM c")
 def clash_free_count(spark, sf):
-    return orientation.clashing_pairs(_few(spark), CELLS).agg(F.count("*").alias("n"))
+    return orientation.clashing_pairs(_orientations(spark), CELLS).agg(F.count("*").alias("n"))
 
 
-def _tile_row(p: str, lock: str | None = None) -> str:
-    return fx.row_sql(lock, 3, tuple(f"{p}{c}" for c in "xyz")).replace("50", str(_FEW))  # type: ignore[arg-type]
-
-
-@query(f"{_FACES}, t AS (SELECT CAST(unnest(range(-1, 2)) AS INT) AS n), tiles AS (SELECT a.n AS ax, b.n AS ay, c.n AS az, CAST(d.axis AS INT) AS axis FROM t a, t b, t c, range(3) d(axis)), nxt AS (SELECT *, ax + (axis = 0)::INT AS bx, ay + (axis = 1)::INT AS by_, az + (axis = 2)::INT AS bz FROM tiles), rows AS (SELECT ax, ay, az, axis, {_tile_row('a')} AS ra, {_tile_row('b').replace('by', 'by_')} AS rb FROM nxt WHERE greatest(bx, by_, bz) <= 1) SELECT ax, ay, az, r.axis, CAST(p.key // 64 AS INT) AS cell FROM rows r JOIN keys p ON p.row = ra AND p.axis = r.axis AND p.side = 1 JOIN keys m ON m.row = rb AND m.axis = r.axis AND m.side = -1 AND m.key = p.key WHERE ra <> rb")
-def neighbour_tiles_clash(spark, sf):
-    return orientation.neighbouring_tiles(_few(spark), CELLS, _FEW, seed=3, extent=1)
-
-
-# The same over the whole table, and the lattice to the operator's own extent.
-_ALL_FACES = _FACES.replace(f" WHERE row < {_FEW}", "")
 _EXTENT = 3
 
 
-@query(SQL["face_keys"].replace(_FACES, _ALL_FACES))
-def face_keys_whole(spark, sf):
-    return orientation.face_keys(fx.ORIENTATIONS.frame(spark), CELLS)
-
+def _tile_row(p: str) -> str:
+    return fx.row_sql(None, 3, (f"{p}x", f"{p}y", f"{p}z"))
 
-@query(SQL["clashing_rows"].replace(_FACES, _ALL_FACES))
-def clashing_rows_whole(spark, sf):
-    return orientation.clashing_pairs(fx.ORIENTATIONS.frame(spark), CELLS)
 
-
-@query(SQL["clash_free_count"].replace(_FACES, _ALL_FACES))
-def clash_free_count_whole(spark, sf):
-    return orientation.clashing_pairs(fx.ORIENTATIONS.frame(spark), CELLS).agg(F.count("*").alias("n"))
-
-
-_ALL_TILE_ROW = {p: fx.row_sql(None, 3, (f"{p}x", f"{p}y", f"{p}z")) for p in "ab"}
-
-
-@query(SQL["neighbour_tiles_clash"].replace(_FACES, _ALL_FACES).replace("range(-1, 2)", f"range(-{_EXTENT}, {_EXTENT + 1})").replace("<= 1)", f"<= {_EXTENT})").replace(_tile_row("a"), _ALL_TILE_ROW["a"]).replace(_tile_row("b").replace("by", "by_"), _ALL_TILE_ROW["b"].replace("by", "by_")))
-def neighbour_tiles_clash_whole(spark, sf):
-    return orientation.neighbouring_tiles(fx.ORIENTATIONS.frame(spark), CELLS, len(fx.ORIENTATIONS), seed=3, extent=_EXTENT)
+@query(f"{_FACES}, t AS (SELECT CAST(unnest(range(-{_EXTENT}, {_EXTENT + 1})) AS INT) AS n), tiles AS (SELECT a.n AS ax, b.n AS ay, c.n AS az, CAST(d.axis AS INT) AS axis FROM t a, t b, t c, range(3) d(axis)), nxt AS (SELECT *, ax + (axis = 0)::INT AS bx, ay + (axis = 1)::INT AS by_, az + (axis = 2)::INT AS bz FROM tiles), rows AS (SELECT ax, ay, az, axis, {_tile_row('a')} AS ra, {_tile_row('b').replace('by', 'by_')} AS rb FROM nxt WHERE greatest(bx, by_, bz) <= {_EXTENT}) SELECT ax, ay, az, r.axis, CAST(p.key // 64 AS INT) AS cell FROM rows r JOIN keys p ON p.row = ra AND p.axis = r.axis AND p.side = 1 JOIN keys m ON m.row = rb AND m.axis = r.axis AND m.side = -1 AND m.key = p.key WHERE ra <> rb")
+def neighbour_tiles_clash(spark, sf):
+    return orientation.neighbouring_tiles(_orientations(spark), CELLS, len(fx.ORIENTATIONS), seed=3, extent=_EXTENT)
 
 
 # Projection.

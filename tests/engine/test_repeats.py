@@ -1,4 +1,4 @@
-"""The replica checks over their whole reach (test_queries.py holds the _whole queries against their SQL)."""
+"""The replica checks over their whole reach (test_queries.py holds the queries against their SQL)."""
 
 import pytest
 
