@@ -87,7 +87,7 @@ def test_long_chains_and_the_sql(spark, tmp_path):
     link = lambda *hosts: "".join(f'<a href="http://{h}/">l</a>' for h in hosts)
     rows = [(0, "http://c0.net/es/", None), (1, "http://good.com/", link("z.org"))]
     rows += [(100 + i, f"http://c{i}.org/", link("c0.net" if i == 1 else f"c{i - 1}.org")) for i in range(1, 21)]
-    rows += [(200 + i, f"http://m{i}.example.com/{'en/' if i % 2 else ''}", link("x.org", "good.com")) for i in range(6)] + [(300, None, None), (301, "http://x.org", '<a href="//c20.org/1">')]
+    rows += [(200 + i, f"http://m{i}.example.com/{'en/' if i % 2 else ''}", link("x.org", "good.com")) for i in range(6)] + [(300, None, None), (301, "http://x.org", '<a href="//y.org/1">')]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["verdict"] for r in urlfilter.judged_pages(pages).collect()}
     assert got[118] == "block" and got[119] == "allow"
