@@ -49,12 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Deletes every table that `written` has made in this process; results that were not collected or written are lost with them."""
-    for path in _WRITTEN:
+def written_so_far() -> list[str]:
+    """The tables that `written` has made in this process, in order."""
+    return list(_WRITTEN)
+
+
+def remove_written(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables that `written` has made in this process (all, if None); results that still read them are lost with them."""
+    gone = written_so_far() if paths is None else paths
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN.clear()
+    _WRITTEN[:] = [p for p in _WRITTEN if p not in set(gone)]
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
