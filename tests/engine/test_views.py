@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from skyloom.functions import axes, plane
 from skyloom.functions import geometry as g
 from skyloom.functions import healpix as hp
-from skyloom.operators import lattice, maps, repeats
+from skyloom.operators import lattice, maps, projection, repeats
 from skyloom.plans import haloes, particles
 from skyloom.queries import fixtures as fx
 from skyloom.streaming import points as streaming
@@ -226,3 +226,32 @@ def test_axes(spark):
     assert axes.beam_label((1.0, 2.5, 3)) == "1_2.5_3"
     assert spark.createDataFrame([(r"\frac{M}{Mpc}",)], "u string").select(axes.one_line(F.col("u"))).first()[0] == "M/Mpc"
     assert [r[0] for r in axes.sorted_rows(spark.createDataFrame([(2,), (1,)], "v int")).collect()] == [1, 2]
+
+
+def _lengths(p: np.ndarray, k: int) -> np.ndarray:
+    d = np.sqrt(np.square(p[:, None] - p[None]).sum(axis=2))
+    return np.sort(d, axis=1)[:, k] / projection.GAMMA
+
+
+def test_smoothing_lengths_in_groups_of_any_density(spark, monkeypatch):
+    monkeypatch.setattr(projection, "GROUP", 150)
+    monkeypatch.setattr(projection, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.random((700, 3)) * 1000, 500 + rng.normal(size=(500, 3)) * 1e-3, np.full((200, 3), 123.25), [[1e6, -1e6, 5.0]]])
+    df = spark.createDataFrame([(i % 900, *map(float, q)) for i, q in enumerate(p)] + [(-1, None, 1.0, 2.0), (-2, float("nan"), 1.0, 2.0)], "id long, x double, y double, z double")
+    rows = projection.smoothing_lengths(df, 250.0, k=7).collect()
+    got = sorted((r["x"], r["y"], r["z"], r["h"]) for r in rows if r["id"] >= 0)
+    assert len(rows) == len(p) + 2 and got == sorted((*map(float, q), float(h)) for q, h in zip(p, _lengths(p, 7), strict=True))
+    assert all(r["h"] is None for r in rows if r["id"] < 0)
+    with pytest.raises(ValueError):
+        projection.smoothing_lengths(df.where("id < 0"), 250.0, k=1)
+
+
+def test_smoothing_lengths_compare_few_pairs(monkeypatch):
+    p = np.random.default_rng(6).random((20_000, 3)) * 250
+    order, begins, lo, hi = projection._leaves(p, 128)
+    q, pairs, partition = p[order], [], np.partition
+    monkeypatch.setattr(np, "partition", lambda d, i, axis: (pairs.append(d.size), partition(d, i, axis=axis))[1])
+    got = np.concatenate([projection._nearest(q[a:b], np.full(b - a, np.inf), q, begins, lo, hi, 33)[:, -1] for a, b in zip(begins[:-1], begins[1:], strict=True)])
+    assert sum(pairs) < 20_000 * 20_000 / 8
+    assert got[:50].tolist() == [np.sort(((q - x) ** 2).sum(axis=1))[32] for x in q[:50]]
