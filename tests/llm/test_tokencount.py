@@ -59,3 +59,14 @@ def test_counts_of_rows(spark):
 def test_schema(spark, column):
     docs = spark.createDataFrame([(1, "a")], f"doc_id long, {column} string")
     assert dict(token_counts(docs, PATH).dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}
+
+
+def test_bare_words_skip_the_library_s_pattern(monkeypatch):
+    coder, texts = PieceEncoder(PATH), [" ".join(["naïve", "Œuvre", "ɏx", "word", "Straße", "don't", "a1b2", "x\ny", "ÿ×÷"] * 3)]
+    calls = []
+    library = coder._library
+    monkeypatch.setattr(coder, "_library", lambda x, words=False: (calls.append((words, x.to_pylist())), library(x, words))[1])
+    counts, ids = coder.encode(pa.array(texts))
+    want = brute(texts)[0]
+    assert ids.tolist() == want and counts.tolist() == [len(want)]
+    assert any(words and " Œuvre" in "".join(got) for words, got in calls)
