@@ -1,3 +1,5 @@
+import os
+
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -5,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from skyloom.llm import tokens
 from skyloom.llm.tokencount import token_counts
 from skyloom.llm.tokens import PieceEncoder
 
@@ -70,3 +73,37 @@ def test_bare_words_skip_the_library_s_pattern(monkeypatch):
     want = brute(texts)[0]
     assert ids.tolist() == want and counts.tolist() == [len(want)]
     assert any(words and " Œuvre" in "".join(got) for words, got in calls)
+
+
+def test_a_full_cache_keeps_pieces_of_many_batches(monkeypatch):
+    coder, often, asked = PieceEncoder(PATH, cache=100), [f" often{chr(97 + i)}" for i in range(20)], []
+    library = coder._library
+    monkeypatch.setattr(coder, "_library", lambda x, words=False: (asked.extend(x.to_pylist()), library(x, words))[1])
+    for i in range(30):
+        texts = ["".join(often) + "".join(f" rare{chr(97 + i % 26)}{chr(97 + j)}{'x' * (i // 26)}" for j in range(20)), "", " "]
+        counts, ids = coder.encode(pa.array(texts))
+        want = brute(texts)
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+        assert len(coder.pieces) == len(coder.lens) == len(coder.begins) == len(coder.uses) <= 100
+    assert sum(x.count("oftena") for x in asked) == 1
+
+
+def test_a_task_takes_no_cores_of_others(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    tokens.encoder(PATH)
+    assert os.environ.get("TOKENIZERS_PARALLELISM") == "false"
+
+
+@pytest.mark.parametrize("scanned", [1, 2, 3, 1 << 18])
+def test_pieces_share_the_texts_bytes(monkeypatch, scanned):
+    monkeypatch.setattr(tokens, "_SCANNED", scanned, raising=False)
+    texts = ["left out", "", "éa é1ɏ!ɐ!×1÷1ÿ?", " at b.c", "日本, x", "", "ö", "1"]
+    whole = pa.array(texts)
+    pieces, begins = (coder := PieceEncoder(PATH))._cut(whole.slice(1))
+    assert pieces.buffers()[2].address == whole.buffers()[2].address
+    want, at = coder._cut_slowly(texts[1:])
+    got = ["".join(pieces.slice(a, b - a).to_pylist()) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+    assert got == texts[1:] and pieces.to_pylist() == [x for x in want.to_pylist() if x]
+    counts, ids = coder.encode(whole)
+    assert ids.tolist() == [y for x in brute(texts) for y in x] and counts.tolist() == [len(x) for x in brute(texts)]
